@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id, n: int):
     """crc32 of the id as text, modulo n: the folds of labelled rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+
+
+def running_sums(df: DataFrame, groups: list[str], order: list[str], value: str) -> DataFrame:
+    """df with `before` (sum of value over earlier rows of the group) and `total` (of the group).
+
+    df has a column `fine`, an integer below 65536 that ascends with `order`
+    and spreads a group's rows evenly.  Sums are hierarchical - rows in a fine
+    range, fine ranges in a coarse one, coarse ones in the group - so a group
+    that holds most rows is spread over many tasks.
+    """
+    earlier = lambda keys, by: F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = groups or [F.lit(0)]
+    fine = df.groupBy(*groups, "fine").agg(F.sum(value).alias(value)).withColumn("coarse", F.shiftright("fine", 8))
+    coarse = fine.groupBy(*groups, "coarse").agg(F.sum(value).alias(value))
+    coarse = coarse.select(*groups, "coarse", earlier(top, ["coarse"]).alias("b1"), F.sum(value).over(W.partitionBy(*top)).alias("total"))
+    fine = fine.select(*groups, "coarse", "fine", earlier([*groups, "coarse"], ["fine"]).alias("b2"))
+    ranges = fine.join(coarse, [*groups, "coarse"]).select(*groups, "fine", "total", (F.col("b1") + F.col("b2")).alias("b1"))
+    rows = df.join(ranges, [*groups, "fine"])
+    return rows.withColumn("before", F.col("b1") + earlier([*groups, "fine"], order)).drop("b1")
