@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 from .bytetext import U64, Words, buffers, spans
 
 #: The pre-tokenizer of byte-level BPE (public pattern, fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ODD = regex.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
-CHUNK = 1 << 22
+#: First bytes of white space beyond ASCII, of control characters that some take for it, and of special tokens.
+LEADS = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")])
+CHUNK = 1 << 23
 
 
 def byte_of_char() -> dict[str, int]:
@@ -47,6 +47,23 @@ def encoding(path: str):
     return enc, sizes
 
 
+def odd_texts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that may hold what the cut into words treats differently from the tokenizer."""
+    at = np.flatnonzero(LEADS[buf])
+    b = buf[at]
+    c = buf[np.minimum(at + 1, len(buf) - 1)] if len(buf) else b
+    d = buf[np.minimum(at + 2, len(buf) - 1)] if len(buf) else b
+    hit = (b < 0x20) | ((b == ord("<")) & (c == ord("|"))) | ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) | ((b == 0xE1) & ((c == 0x9A) | (c == 0xA0)))
+    hit |= ((b == 0xE2) & (((c == 0x80) & ((d <= 0x8A) | (d >= 0xA8))) | (c == 0x81))) | ((b == 0xE3) & (c == 0x80))
+    return np.unique(np.searchsorted(offsets, at[hit] + offsets[0], "right") - 1)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start+size] of every range, joined."""
+    upto = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - upto, sizes)]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         self.enc, self.sizes = encoding(path)
@@ -62,13 +79,13 @@ class Encoder:
             self.gaps[key] = self.enc.encode_ordinary(t[:-1]) + self.enc.encode_ordinary(t[-1:]) if split_last else self.enc.encode_ordinary(t)
         return self.gaps[key]
 
-    def _distinct(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words given with one space or line feed before them, and where each word's ids end."""
-        joined = b"".join(units)
-        ids = np.array(self.enc.encode_ordinary(joined.decode("utf-8")), np.int64)
-        upto = np.cumsum(self.sizes[ids])
-        ends = np.searchsorted(upto, np.cumsum([len(u) for u in units]), "left") + 1
-        return ids, ends
+    def _distinct(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with one space or line feed before it, and where each word's ids end."""
+        sizes = ends - starts + 1
+        joined = gathered(buf, starts - 1, sizes)  # the byte before is overwritten
+        joined[np.cumsum(sizes) - sizes] = np.where(spaced, 32, 10)
+        ids = np.array(self.enc.encode_ordinary(joined.tobytes().decode("utf-8")), np.int64)
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes), "left") + 1
 
     def chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts and the number in each."""
@@ -79,8 +96,8 @@ class Encoder:
         spaced = (s > begin) & (w.buf[np.maximum(s - 1, 0)] == 32)
         key = w.hashes() * U64(2) + spaced.astype(U64)
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        units = [(b" " if spaced[i] else b"\n") + b[s[i] : e[i]] for i in first.tolist()]
-        ids, ends = self._distinct(units) if units else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        ids, ends = self._distinct(w.buf, s[first], e[first], spaced[first]) if len(first) else (none, none)
         lead = np.concatenate([[0], ends[:-1]]) + ~spaced[first] if len(ends) else ends  # the line feed is not the word's
         # white space before each word, less the space it keeps, and after the last word of a text
         prev = np.maximum(np.concatenate([[0], e[:-1]]), begin) if len(s) else s
@@ -99,10 +116,7 @@ class Encoder:
         owner = np.concatenate([own, np.array([d for _, d, _ in pieces], np.int64)]).astype(np.int64)
         order = np.argsort(at, kind="stable")
         size, src, owner = size[order], src[order], owner[order]
-        total = int(size.sum())
-        upto = np.cumsum(size) - size
-        take = np.arange(total) + np.repeat(src - upto, size)
-        return np.concatenate([ids, extra])[take], np.bincount(owner, size, n).astype(np.int64)
+        return gathered(np.concatenate([ids, extra]), src, size), np.bincount(owner, size, n).astype(np.int64)
 
     def column(self, text: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text of a column, in order; nulls count as empty."""
@@ -110,10 +124,7 @@ class Encoder:
         for a, z in spans(offsets, CHUNK):
             ids, counts = self.chunk(buf, offsets[a : z + 1])
             part = np.split(ids, np.cumsum(counts)[:-1])
-            raw = buf[offsets[a] : offsets[z]].tobytes()
-            if ODD.search(raw):
-                for d in range(z - a):
-                    own = raw[offsets[a + d] - offsets[a] : offsets[a + d + 1] - offsets[a]]
-                    if ODD.search(own):
-                        part[d] = np.array(self.enc.encode(own.decode(), allowed_special="all"), np.int64)
+            for d in odd_texts(buf[offsets[a] : offsets[z]], offsets[a : z + 1]).tolist():
+                own = buf[offsets[a + d] : offsets[a + d + 1]].tobytes()
+                part[d] = np.array(self.enc.encode(own.decode(), allowed_special="all"), np.int64)
             yield from part
