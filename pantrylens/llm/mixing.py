@@ -54,11 +54,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return x.select("source", "source_size", F.when(F.col("open"), shared).otherwise((2 * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT) -> DataFrame:
-    """Per document: size, source_size, target of its source, and the words taken from it over all epochs."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: size, source_size, target of its source, and the words taken from it over all epochs; with the columns to carry."""
     key = F.md5(F.concat(F.lit(PREFIX), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     meta = stored(
         docs.select(
+            *carry,
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -85,4 +86,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHAR
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT) -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, and the words of a document that its source's budget cuts (joined by one space)."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    taken = mix(keyed, weights, percent, ("_row",)).filter("taken > 0").select("_row", "size", "taken")
+    x = keyed.join(taken, "_row")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    x = x.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    x = x.withColumn("text", F.when(F.col("_part") > 0, F.concat_ws(" ", F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1))))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        x = x.withColumn("n_chars", F.length("text").cast("long"))
+    return x.select(*docs.columns)
