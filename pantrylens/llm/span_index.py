@@ -16,8 +16,8 @@ Batches must come in ascending ranges of doc_id, as "first" means the smallest.
 
 Defined cases: null and empty texts have no words; texts below 50 words have
 no windows and lose nothing; rows with a null id neither remove nor lose words;
-rows with the same id never remove each other's words; exact copies are found
-by digest and lose everything if they have a window; extra columns are ignored.
+rows with the same id never remove each other's words, whatever their texts;
+exact copies of windowed texts lose everything; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .bytetext import WORD_POLY, WORD_POLY_B, U64, Words, chunks, mix64, signed
 from .shared import new_path, stored
 
 WINDOW, GRAM = 50, 8
-RUN = "anchor bigint, f1 bigint, f2 bigint, doc_id bigint, start int, n int"
-WIN = "w1 bigint, w2 bigint, doc_id bigint, pos int"
+RUN = "anchor bigint, f1 bigint, f2 bigint, doc_id bigint, tk bigint, start int, n int"
+WIN = "w1 bigint, w2 bigint, doc_id bigint, tk bigint, pos int"
 
 
 class Windows:
@@ -64,11 +64,11 @@ class Windows:
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Runs of every document (doc_id, text)."""
+    """Runs of every document (doc_id, tk, text); tk is the text's hash, which tells texts under one id apart."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("tk").to_numpy()
             for at, end, words in chunks(batch.column("text")):
                 w, own = Windows(words, window), words.owner()
                 v = w.valid
@@ -81,19 +81,19 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n = np.bincount(group, minlength=len(starts))
                 f1, f2 = w.hashes(starts, starts + n + window - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(w.anchors[starts])), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(ids[at:end][own[starts]].astype(np.int64)), pa.array((starts - words.first[own[starts]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "f1", "f2", "doc_id", "start", "n"],
+                    [pa.array(signed(w.anchors[starts])), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(ids[at:end][own[starts]]), pa.array(keys[at:end][own[starts]]), pa.array((starts - words.first[own[starts]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["anchor", "f1", "f2", "doc_id", "tk", "start", "n"],
                 )
 
     return docs.mapInArrow(run, RUN)
 
 
 def opened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Hashes of the windows in the ranges `runs` (start, n) of each document (doc_id, text, runs)."""
+    """Hashes of the windows in the ranges `runs` (start, n) of each document (doc_id, tk, text, runs)."""
 
     def run(batches):
         for batch in batches:
-            ids, col = batch.column("doc_id").to_numpy(), batch.column("runs")
+            ids, keys, col = batch.column("doc_id").to_numpy(), batch.column("tk").to_numpy(), batch.column("runs")
             flat, sizes = col.flatten(), np.diff(col.offsets.to_numpy())
             upto = np.concatenate([[0], np.cumsum(sizes)])
             start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
@@ -106,7 +106,7 @@ def opened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 pos = np.arange(int(m.sum())) + np.repeat(first - (np.cumsum(m) - m), m)
                 w1, w2 = w.hashes(pos, pos + window)
                 d = np.repeat(own, m)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[at:end][d].astype(np.int64)), pa.array((pos - words.first[d]).astype(np.int32))], names=["w1", "w2", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[at:end][d]), pa.array(keys[at:end][d]), pa.array((pos - words.first[d]).astype(np.int32))], names=["w1", "w2", "doc_id", "tk", "pos"])
 
     return docs.mapInArrow(run, WIN)
 
@@ -127,9 +127,9 @@ class FingerprintIndex:
         return path
 
     def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """Index a batch; ranges (doc_id, start, n) of its windows that start in an earlier document.
+        """Index a batch; ranges (doc_id, tk, start, n) of its windows that start in an earlier document.
 
-        texts holds (doc_id, text) of every document so far, one row each.
+        texts holds (doc_id, tk, text) of every document so far.
         """
         history = list(self.files)
         new = self._write(fingerprints(batch, self.window))
@@ -141,13 +141,13 @@ class FingerprintIndex:
         key = ["anchor", "f1", "f2"]
         firsts = stored(runs.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("new").alias("fresh")), "firsts")
         placed = runs.join(firsts.select(*key, "lo"), key)
-        equal = placed.filter("new and doc_id > lo").select("doc_id", "start", "n")
+        equal = placed.filter("new and doc_id > lo").select("doc_id", "tk", "start", "n")
         # distinct runs under an anchor that several of them share: their windows are compared one by one
         several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 and fresh").select("anchor")
-        open_runs = placed.filter("doc_id = lo").join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-        windows = stored(opened(texts.join(open_runs, "doc_id").select("doc_id", "text", "runs"), self.window), "windows")
+        open_runs = placed.filter("doc_id = lo").join(several, "anchor").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+        windows = stored(opened(texts.join(open_runs, ["doc_id", "tk"]).select("doc_id", "tk", "text", "runs"), self.window), "windows")
         first_of = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-        single = windows.join(first_of, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+        single = windows.join(first_of, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
         if history:
             # a range (not a list) of ids: batches ascend
             least = batch.agg(F.min("doc_id")).first()[0]
@@ -159,54 +159,38 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """One sorted file in place of all: the first document of each distinct run."""
-        merged = self._read(self.files).groupBy("anchor", "f1", "f2").agg(F.min(F.struct("doc_id", "start", "n")).alias("s")).select("anchor", "f1", "f2", "s.*")
+        merged = self._read(self.files).groupBy("anchor", "f1", "f2").agg(F.min(F.struct("doc_id", "tk", "start", "n")).alias("s")).select("anchor", "f1", "f2", "s.*")
         self.files = [self._write(merged)]
 
 
 def dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of every row, the corpus indexed in ascending batches."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark, window=window)
-    digest = F.md5(F.col("text").cast("binary"))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    index = FingerprintIndex(docs.sparkSession, window=window)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.filter("doc_id is not null")
-    firsts = stored(known.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi")), "copies")
-    # one row for each distinct text and id: rows that share an id and a text count once
-    reps = known.join(firsts.select("doc_id", F.col("digest").alias("d")), "doc_id").filter(digest == F.col("d")).select("doc_id", "text").dropDuplicates(["doc_id"]) if _ids_repeat(known) else known.join(firsts.select("doc_id"), "doc_id", "left_semi")
     lo, hi = (int(x or 0) for x in known.agg(F.min("doc_id"), F.max("doc_id")).first())
     cuts = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
     found = None
     for a, b in zip(cuts, cuts[1:], strict=False):
-        part = reps.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b))
-        ranges = index.add(part, reps.filter(F.col("doc_id") < b))
+        part = known.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b))
+        ranges = index.add(part, known.filter(F.col("doc_id") < b))
         found = ranges if found is None else found.unionByName(ranges)
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnRenamed("doc_id", "rep")
-    copies = firsts.filter("hi > doc_id").select("digest", F.col("doc_id").alias("copied"))
-    rows = base.withColumn("digest", digest).join(copies, "digest", "left")
-    rows = rows.withColumn("whole", F.coalesce(F.col("doc_id") > F.col("copied"), F.lit(False))).withColumn("rep", F.when(~F.col("whole"), F.col("doc_id")))
-    rows = rows.join(per_doc, "rep", "left").select("doc_id", "text", "whole", "runs")
-    return cut_out(rows, window)
-
-
-def _ids_repeat(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    per_doc = found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return cut_out(base.join(per_doc, ["doc_id", "tk"], "left").select("doc_id", "text", "runs"), window)
 
 
 def cut_out(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Remove the covered words of (doc_id, text, whole, runs)."""
+    """Remove the covered words of (doc_id, text, runs)."""
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
     def run(batches):
         for b in batches:
             n_words, n_removed, shas, kept = [], [], [], []
-            runs, whole = b.column("runs").to_pylist(), b.column("whole").to_pylist()
-            for text, r, all_ in zip(b.column("text").cast(pa.binary()).to_pylist(), runs, whole, strict=True):
+            for text, r in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
                 words = text.split()
                 gone = 0
                 n_words.append(len(words))
-                if all_ and len(words) >= window:
-                    gone, words = len(words), []
-                elif r:
+                if r:
                     cover = np.zeros(len(words) + 1, np.int64)
                     for x in r:
                         cover[x["start"]] += 1
