@@ -9,7 +9,9 @@ pair shares one.  Sets that share a signature are compared with the first of
 them (a star, never all pairs) and verified exactly.  Where a star leaves a
 signature's sets in several components, the remaining pairs across components
 are verified too, less those that the triangle inequality of the Jaccard
-distance rules out; no link is lost.
+distance rules out.  Before a pair is verified its parity sketches are
+compared: the number of bits in which they differ never exceeds the symmetric
+difference of the sets, so what they rule out is no link; none is lost.
 
 Signatures are range-partitioned together with their sets, so one signature
 held by most sets is spread over tasks, and stars are written as a stream.
@@ -32,6 +34,8 @@ from .components import components
 from .shared import stored
 
 PERCENT, GRAM = 90, 3
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 
 
 def shingles(words: Words, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +95,16 @@ def signatures(x: np.ndarray, owner: np.ndarray, sizes: np.ndarray, bands: Bands
     return sig[np.argsort(own, kind="stable")], counts[0] + counts[1]
 
 
+def sketches(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """One row of SKETCH words a set: each bit is the parity of the number of its shingles that hash there."""
+    bit = (mix64(x ^ U64(0x3C3C3C3C)) % U64(64 * SKETCH)).astype(np.int64)
+    odd = np.bincount(owner * (64 * SKETCH) + bit, minlength=n * 64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(n, SKETCH)
+
+
 def described(docs: DataFrame, percent: int, gram: int) -> DataFrame:
-    """(row, doc_id, n, d1, d2, sigs) of every row."""
-    schema = "row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>"
+    """(row, doc_id, n, d1, d2, sketch, sigs) of every row."""
+    schema = "row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, sigs array<bigint>"
 
     def run(batches):
         bands = Bands(percent)
@@ -106,10 +117,11 @@ def described(docs: DataFrame, percent: int, gram: int) -> DataFrame:
                 np.add.at(d[1], own, mix64(x ^ U64(0x2222)))
                 sig, counts = signatures(x, own, sizes, bands)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * SKETCH), pa.array(signed(sketches(x, own, end - at).ravel())))
                 part = b.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), pa.ListArray.from_arrays(offsets, pa.array(signed(sig)))],
-                    names=["row", "doc_id", "n", "d1", "d2", "sigs"],
+                    [part.column("row"), part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), sketch, pa.ListArray.from_arrays(offsets, pa.array(signed(sig)))],
+                    names=["row", "doc_id", "n", "d1", "d2", "sketch", "sigs"],
                 )
 
     x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -156,6 +168,12 @@ def sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def close(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
+    """Sketches that a linked pair can have: they differ in at most as many bits as the sets in shingles."""
+    bits = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(SKETCH)), F.lit(0))
+    return bits * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
     """(a, b, both) of each pair (a, b) of rows: the size of the intersection of their sets, rebuilt from the texts."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
@@ -190,16 +208,18 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> D
 def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     all_sets = described(docs, percent, gram)
-    reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id")).alias("r")).select("n", "d1", "d2", "r.row", "r.doc_id"), "reps")
+    reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id", "sketch")).alias("r")).select("n", "d1", "d2", "r.row", "r.doc_id", "r.sketch"), "reps")
     sig_rows = all_sets.join(reps.select("row"), "row", "left_semi").select(F.explode("sigs").alias("sig"), "row")
     star = stars(sig_rows)
-    size = reps.select("row", "n")
+    size = reps.select("row", "n", "sketch")
     # a signature that runs over partitions has several heads; they meet at the smallest
     bridges = star.filter("kind = 1").groupBy("sig").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low < high").select("sig", "low")
     bridge = star.filter("kind = 1").join(bridges, "sig").filter("head > low").select(F.col("head").alias("a"), F.col("low").alias("b"))
     pairs = star.filter("kind = 0").select(F.col("row").alias("a"), F.col("head").alias("b")).union(bridge).distinct()
-    pairs = pairs.join(size.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("row").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = stored(pairs.withColumn("fits", sized(F.col("na"), F.col("nb"), percent)), "pairs")
+    for side in "ab":
+        pairs = pairs.join(size.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    na, nb = F.col("na"), F.col("nb")
+    pairs = stored(pairs.withColumn("fits", sized(na, nb, percent) & close(na, nb, F.col("sa"), F.col("sb"), percent)).drop("sa", "sb"), "pairs")
     seen = stored(_linked(pairs.filter("fits"), verified(pairs.filter("fits").select("a", "b"), reps, docs, gram), percent), "seen")
     roots = components(seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     rest = _across(star, bridges, pairs, seen, roots, size, percent)
@@ -236,9 +256,10 @@ def _across(star: DataFrame, bridges: DataFrame, pairs: DataFrame, seen: DataFra
     members = members.join(known, ["row", "head"], "left").select("sig", "row", "head", "d").unionByName(members.select("sig", F.col("head").alias("row"), "head", F.lit(0.0).alias("d")).distinct())
     members = members.join(root, "row", "left").withColumn("root", F.coalesce("root", "row")).join(size, "row")
     members = stored(members, "members")
-    a, b = (members.select("sig", "head", *[F.col(c).alias(f"{c}{s}") for c in ("row", "d", "root", "n")]) for s in "ab")
+    a, b = (members.select("sig", "head", *[F.col(c).alias(f"{c}{s}") for c in ("row", "d", "root", "n", "sketch")]) for s in "ab")
     a, b = a.withColumnRenamed("rowa", "a"), b.withColumnRenamed("rowb", "b").withColumnRenamed("head", "headb")
     may = (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & sized(F.col("na"), F.col("nb"), percent)
     near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (100 - percent) / 100 + 1e-9, F.lit(True)) | (F.col("head") != F.col("headb"))
+    near &= close(F.col("na"), F.col("nb"), F.col("sketcha"), F.col("sketchb"), percent)
     x = a.join(b, "sig").filter(may & near).select("a", "b", "na", "nb").distinct()
     return x.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
