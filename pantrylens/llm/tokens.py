@@ -21,7 +21,8 @@ from .bytetext import U64, Words, buffers, spans
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: First bytes of white space beyond ASCII, of control characters that some take for it, and of special tokens.
 LEADS = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")])
-CHUNK = 1 << 23
+#: Bytes of text encoded at once.
+CHUNK = 1 << 21
 
 
 def byte_of_char() -> dict[str, int]:
