@@ -19,9 +19,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.withColumn("_toxicity", toxicity.toxicity(docs, model)).filter(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 
+#: Near copies: word shingles of five, similarity 0.8 (op5 keeps its own contract of three and 0.9).
+NEAR_PERCENT, NEAR_GRAM = 80, 5
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of the Jaccard join; equal rows leave one."""
-    kept = jaccard.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    kept = jaccard.join(docs, NEAR_PERCENT, NEAR_GRAM).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     kept = stored(kept, "kept")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if kept.filter("_n > 1").limit(1).count() else out
