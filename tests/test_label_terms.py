@@ -1,0 +1,74 @@
+"""The term queries without SQL, and the operators under them, against brute force over the terms of all damage classes."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pantrylens import dims
+from pantrylens.operators import normalize as nz
+from pantrylens.plans import labels
+from pantrylens.plans import queries as q
+
+SF = "/root/testdata/sf0.001"
+SURFACES = sorted({s for s, _, _ in dims.exact_index_rows()})
+VOCABULARY = {**dict.fromkeys(SURFACES, 1), "thiamin mononitrate": 2}
+
+
+def ratio(a, b):
+    if not a and not b:
+        return 1.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return 2 * row[-1] / (len(a) + len(b))
+
+
+def squeezed(x):
+    return re.sub("[^a-z0-9]", "", x)
+
+
+def similarity(a, b):
+    return round(0.45 * ratio(a, b) + 0.30 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) + 0.25 * ratio(squeezed(a), squeezed(b)), 4)
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    rows = labels.part_terms(spark, SF).select("a", F.lower("i").alias("i"), F.lower("term").alias("term")).distinct().collect()
+    assert {r.a for r in rows} == set(labels.DAMAGE)
+    return rows
+
+
+def test_weighted_similarity_of_all_terms(spark, parts):
+    got = {(r.a, r.b): r.similarity for r in q.o47_weighted_similarity(spark, SF).collect()}
+    assert got == {(r.term, r.i): similarity(r.term, r.i) for r in parts}
+
+
+def test_top_candidates_of_all_terms(spark, parts):
+    want = []
+    for t in {r.term for r in parts}:
+        equal = sorted(v for v in VOCABULARY if squeezed(v) == squeezed(t))
+        if equal:
+            want.append((t, equal[0], 1.0, 1))
+            continue
+        near = [v for v in VOCABULARY if set(v.split()) & set(t.split())] or [v for v in VOCABULARY if v[0] == t[0]]
+        best = sorted((-similarity(t, v), -VOCABULARY[v], v) for v in near)[:5]
+        want += [(t, v, -s, k + 1) for k, (s, _, v) in enumerate(best)]
+    got = q.o48_blocked_top_candidates(spark, SF).collect()
+    assert sorted((r.cleaned, r.candidate, r.similarity, r["rank"]) for r in got) == sorted(want)
+
+
+def test_segments_of_all_terms(spark, parts):
+    terms = sorted({r.term for r in parts})
+    want = []
+    for t in terms:
+        w, at = t.split(" "), 0
+        while at < len(w):
+            end = next((e for e in range(min(at + 5, len(w)), at, -1) if " ".join(w[at:e]) in SURFACES), None)
+            want += [(t, at, end, " ".join(w[at:end]))] if end else []
+            at = end or at + 1
+    got = nz.segments(spark.createDataFrame([(t,) for t in terms], "cleaned string"), dims.exact_index(spark)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
