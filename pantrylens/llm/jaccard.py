@@ -234,6 +234,28 @@ def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_shingles, n_links of every row: the other rows that it is linked with, copies included.
+
+    Every pair of different sets that share a signature is verified, inside
+    components too, so the work grows with the square of a group of near copies.
+    """
+    all_sets = described(docs, percent, gram)
+    reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id", "sketch")).alias("r"), F.count("*").alias("copies")).select("n", "d1", "d2", "r.row", "r.doc_id", "r.sketch", "copies"), "reps")
+    sigs = all_sets.join(reps.select("row"), "row", "left_semi").select(F.explode("sigs").alias("sig"), "row")
+    a, b = (sigs.select("sig", F.col("row").alias(s)) for s in "ab")
+    pairs = a.join(b, "sig").filter("a < b").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    na, nb = F.col("na"), F.col("nb")
+    pairs = stored(pairs.filter(sized(na, nb, percent) & close(na, nb, F.col("sa"), F.col("sb"), percent)).select("a", "b", "na", "nb"), "pairs")
+    linked = stored(_linked(pairs, verified(pairs.select("a", "b"), reps, docs, gram), percent).filter("linked").select("a", "b"), "links")
+    near = linked.union(linked.select("b", "a")).join(reps.select(F.col("row").alias("b"), "copies"), "b").groupBy(F.col("a").alias("row")).agg(F.sum("copies").alias("near"))
+    nodes = reps.join(near, "row", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = all_sets.select("doc_id", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _linked(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """a, b, linked and the Jaccard distance d."""
     x = pairs.select("a", "b", "na", "nb").join(met, ["a", "b"])
