@@ -103,8 +103,8 @@ def sketches(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, percent: int, gram: int) -> DataFrame:
-    """(row, doc_id, n, d1, d2, sketch, sigs) of every row."""
-    schema = "row bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, sigs array<bigint>"
+    """(row, doc_id, tk, n, d1, d2, sketch, sigs) of every row; tk is a hash of the text as it is."""
+    schema = "row bigint, doc_id bigint, tk bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, sigs array<bigint>"
 
     def run(batches):
         bands = Bands(percent)
@@ -120,11 +120,11 @@ def described(docs: DataFrame, percent: int, gram: int) -> DataFrame:
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * SKETCH), pa.array(signed(sketches(x, own, end - at).ravel())))
                 part = b.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), sketch, pa.ListArray.from_arrays(offsets, pa.array(signed(sig)))],
-                    names=["row", "doc_id", "n", "d1", "d2", "sketch", "sigs"],
+                    [part.column("row"), part.column("doc_id"), part.column("tk"), pa.array(sizes.astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), sketch, pa.ListArray.from_arrays(offsets, pa.array(signed(sig)))],
+                    names=["row", "doc_id", "tk", "n", "d1", "d2", "sketch", "sigs"],
                 )
 
-    x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     return stored(x.mapInArrow(run, schema), "sets")
 
 
@@ -207,6 +207,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> D
 
 def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return classes(docs, percent, gram).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
+    """doc_id, tk, n_shingles, root, component_id of every row: root tells components apart where ids repeat and is null for empty sets."""
     all_sets = described(docs, percent, gram)
     reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id", "sketch")).alias("r")).select("n", "d1", "d2", "r.row", "r.doc_id", "r.sketch"), "reps")
     sig_rows = all_sets.join(reps.select("row"), "row", "left_semi").select(F.explode("sigs").alias("sig"), "row")
@@ -228,10 +233,10 @@ def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame
         more = _linked(rest, verified(rest.select("a", "b"), reps, docs, gram), percent).filter("linked")
         roots = components(seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(more.select("a", "b")))
     nodes = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("n", "d1", "d2", F.coalesce("root", "row").alias("root"))
-    full = all_sets.select("doc_id", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
+    full = all_sets.select("doc_id", "tk", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
     lowest = full.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
     out = full.join(lowest, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def links(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
