@@ -8,6 +8,7 @@ Nulls count as empty texts throughout.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,35 +39,81 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-class Poly:
-    """Polynomial hashes of ranges of a sequence, modulo 2**64."""
-
-    def __init__(self, seed: int) -> None:
-        self.base = int(seeded(1, seed)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, b, U64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
+#: Bytes of a word that are mixed in blocks of eight; longer words are hashed by a cryptographic function.
+BLOCKS = 8
+
+
+def _blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one value."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf),), "<u8", padded, 0, (1,))
+
+
+def _block(view: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Block at each start, with bytes beyond the `left` ones cleared."""
+    short = np.minimum(left, 8).astype(U64)
+    return view[starts] & (U64(0xFFFFFFFFFFFFFFFF) >> ((U64(8) - short) * U64(8)))
+
+
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges (none empty): each block of eight bytes is mixed into the state of those before.
+
+    Ranges of one length up to eight bytes never collide; different seeds give independent hashes.
+    """
+    n = ends - starts
+    h = mix64(n.astype(U64) * U64(0x9E3779B97F4A7C15) + seeded(1, 1000 + seed)[0])
+    if not len(n):
+        return h
+    view = _blocks(buf)
+    act = np.arange(len(n))
+    for k in range(BLOCKS):
+        h[act] = mix64(h[act] ^ _block(view, starts[act] + 8 * k, n[act] - 8 * k))
+        act = act[n[act] > 8 * (k + 1)]
+        if not len(act):
+            break
+    key = bytes([seed])
+    for i in act.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether buf[a:a+n] equals buf[b:b+n], for every triple."""
+    same = np.ones(len(n), bool)
+    view = _blocks(buf)
+    act = np.flatnonzero(n > 0)
+    for k in range(BLOCKS):
+        same[act] &= _block(view, a[act] + 8 * k, n[act] - 8 * k) == _block(view, b[act] + 8 * k, n[act] - 8 * k)
+        act = act[n[act] > 8 * (k + 1)]
+        if not len(act):
+            break
+    for i in act.tolist():
+        same[i] &= bool((buf[a[i] : a[i] + n[i]] == buf[b[i] : b[i] + n[i]]).all())
+    return same
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two sequences one after the other; not symmetric, not linear."""
+    return mix64(mix64(a + U64(0xD1B54A32D192ED03)) * U64(0x2545F4914F6CDD1D) + b)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] (none empty): the two longest stretches of a power of two that cover it, and its length."""
+    n = ends - starts
+    out = np.zeros(len(n), U64)
+    if not len(n):
         return out
-
-    def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[start:end] for each pair; equal ranges, equal hashes."""
-        return mix64((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(U64))
-
-
-BYTE_TABLE = seeded(256, 17)
-BYTE_POLY, WORD_POLY, WORD_POLY_B = Poly(101), Poly(202), Poly(303)
+    k = np.frexp(n.astype(float))[1] - 1
+    level, size = values, 1
+    for step in range(int(k.max()) + 1):
+        at = np.flatnonzero(k == step)
+        if len(at):
+            out[at] = mix64(joined(level[starts[at]], level[ends[at] - size]) + n[at].astype(U64))
+        if step < k.max():
+            longer = level.copy()
+            longer[:-size] = joined(level[:-size], level[size:])
+            level, size = longer, 2 * size
+    return out
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +166,14 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return BYTE_POLY.ranges(BYTE_POLY.prefix(BYTE_TABLE[self.buf]), self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.buf, self.starts, self.ends, seed)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start+size] of every range, joined."""
+    upto = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - upto, sizes)]
 
 
 def chunks(col: pa.Array, lower: bool = False, inside: np.ndarray = IS_INK) -> Iterator[tuple[int, int, Words]]:

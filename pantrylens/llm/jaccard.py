@@ -1,6 +1,7 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-Equal sets are collapsed by digest.  Sets fall into size bands; for each band
+Equal sets are collapsed by digest (two sums over independent 64-bit hashes).
+Sets fall into size bands; for each band
 the shingle domain is cut by hash into n1 parts of three sub-parts, where n1
 exceeds half the largest symmetric difference that a linked pair can have.
 Some part then holds at most one difference, so two of its three sub-parts
@@ -9,12 +10,17 @@ pair shares one.  Sets that share a signature are compared with the first of
 them (a star, never all pairs) and verified exactly.  Where a star leaves a
 signature's sets in several components, the remaining pairs across components
 are verified too, less those that the triangle inequality of the Jaccard
-distance rules out.  Before a pair is verified its parity sketches are
-compared: the number of bits in which they differ never exceeds the symmetric
-difference of the sets, so what they rule out is no link; none is lost.
-
-Signatures are range-partitioned together with their sets, so one signature
-held by most sets is spread over tasks, and stars are written as a stream.
+distance rules out; a signature with many such sets is cut into blocks of
+BLOCK sets, and every pair of blocks is a join key of its own.  Before a pair
+is verified its parity sketches are compared: the number of bits in which they
+differ never exceeds the symmetric difference of the sets, so what they rule
+out is no link; none is lost.
+
+Signatures are never stored: they are computed from the texts of distinct sets
+on their way into one range partitioning together with their sets, so one
+signature held by most sets is spread over tasks, and stars are written as a
+stream.  Texts meet the sets that are wanted by broadcast while these are at
+most BROADCAST_ROWS rows, else by a join.
 
 Defined cases: null and empty texts have empty sets and link with nothing;
 texts below three words have one shingle of all words; rows with equal sets
@@ -29,28 +35,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import WORD_POLY, U64, Words, chunks, mix64, signed, sort_within
+from .bytetext import U64, Words, chunks, mix64, range_hashes, signed, sort_within
 from .components import components
 from .shared import stored
 
 PERCENT, GRAM = 90, 3
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Most rows of (row, doc_id, tk), 24 bytes each, that are broadcast.
+BROADCAST_ROWS = 1 << 18
+#: Sets of one signature that are compared with each other in one task.
+BLOCK = 512
 
 
-def shingles(words: Words, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of the distinct shingles of each text, ascending by owner and hash."""
+def shingles(words: Words, gram: int = GRAM, *seeds: int) -> tuple[np.ndarray, ...]:
+    """(hash, owner) of the distinct shingles of each text, ascending by owner and hash; then their hashes by other seeds."""
     h, own = words.hashes(), words.owner()
-    prefix = WORD_POLY.prefix(h)
     left = np.repeat(words.first[1:], words.counts) - np.arange(len(h))
     starts = np.flatnonzero((left >= gram) | (np.arange(len(h)) == words.first[own]))
     ends = np.minimum(starts + gram, words.first[own[starts] + 1])
-    x, o = WORD_POLY.ranges(prefix, starts, ends), own[starts]
+    x, o = range_hashes(h, starts, ends), own[starts]
     order = sort_within(o, x)
     x, o = x[order], o[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
-    return x[new], o[new]
+    kept = order[new]
+    return x[new], o[new], *[range_hashes(words.hashes(s), starts[kept], ends[kept]) for s in seeds]
 
 
 class Bands:
@@ -102,30 +112,58 @@ def sketches(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8").reshape(n, SKETCH)
 
 
-def described(docs: DataFrame, percent: int, gram: int) -> DataFrame:
-    """(row, doc_id, tk, n, d1, d2, sketch, sigs) of every row; tk is a hash of the text as it is."""
-    schema = "row bigint, doc_id bigint, tk bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, sigs array<bigint>"
+def digests(x: np.ndarray, y: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Two sums a set, over independent hashes of its shingles."""
+    d = np.zeros((2, n), U64)
+    np.add.at(d[0], own, mix64(x ^ U64(0x1111)))
+    np.add.at(d[1], own, mix64(y ^ U64(0x2222)))
+    return d
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, text); tk is a hash of the text as it is, which tells texts under one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+
+
+def described(docs: DataFrame, gram: int) -> DataFrame:
+    """(row, doc_id, tk, n, d1, d2, sketch) of every row."""
+    schema = "row bigint, doc_id bigint, tk bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>"
 
     def run(batches):
-        bands = Bands(percent)
         for b in batches:
             for at, end, words in chunks(b.column("text"), True):
-                x, own = shingles(words, gram)
-                sizes = np.bincount(own, minlength=end - at)
-                d = np.zeros((2, end - at), U64)
-                np.add.at(d[0], own, mix64(x ^ U64(0x1111)))
-                np.add.at(d[1], own, mix64(x ^ U64(0x2222)))
-                sig, counts = signatures(x, own, sizes, bands)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * SKETCH), pa.array(signed(sketches(x, own, end - at).ravel())))
-                part = b.slice(at, end - at)
+                x, own, y = shingles(words, gram, 1)
+                n = end - at
+                d = digests(x, y, own, n)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SKETCH), pa.array(signed(sketches(x, own, n).ravel())))
+                part = b.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("tk"), pa.array(sizes.astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), sketch, pa.ListArray.from_arrays(offsets, pa.array(signed(sig)))],
-                    names=["row", "doc_id", "tk", "n", "d1", "d2", "sketch", "sigs"],
+                    [part.column("row"), part.column("doc_id"), part.column("tk"), pa.array(np.bincount(own, minlength=n).astype(np.int64)), pa.array(signed(d[0])), pa.array(signed(d[1])), sketch],
+                    names=["row", "doc_id", "tk", "n", "d1", "d2", "sketch"],
                 )
 
-    x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    return stored(x.mapInArrow(run, schema), "sets")
+    return stored(keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "tk", "text").mapInArrow(run, schema), "sets")
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, text) of the stored rows `wanted` (row, doc_id, tk); a row whose id and text repeat comes repeatedly."""
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    t = keyed(docs)
+    return t.join(side, t["doc_id"].eqNullSafe(side["doc_id"]) & (t["tk"] == side["tk"])).select("row", "text")
+
+
+def signature_rows(docs: DataFrame, reps: DataFrame, percent: int, gram: int) -> DataFrame:
+    """(sig, row) of every distinct set."""
+
+    def run(batches):
+        bands = Bands(percent)
+        for b in batches:
+            for at, end, words in chunks(b.column("text"), True):
+                x, own = shingles(words, gram)
+                sig, counts = signatures(x, own, np.bincount(own, minlength=end - at), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(np.repeat(b.column("row").to_numpy()[at:end], counts))], names=["sig", "row"])
+
+    return with_texts(docs, reps.select("row", "doc_id", "tk")).mapInArrow(run, "sig bigint, row bigint")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -153,7 +191,7 @@ def stars(rows: DataFrame) -> DataFrame:
                 sig, head = int(s[0]), int(r[0])
                 yield edge()
             sig, head = int(s[-1]), int(heads[-1])
-            m = ~first
+            m = ~first & (r != heads)
             if m.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(m.sum()), np.int32)), pa.array(s[m]), pa.array(r[m]), pa.array(heads[m])], names=names)
         if sig is not None:
@@ -177,32 +215,39 @@ def close(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Colum
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
     """(a, b, both) of each pair (a, b) of rows: the size of the intersection of their sets, rebuilt from the texts."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = reps.join(wanted, "row").select("row", "doc_id", "d1", "d2")
+    wanted = stored(reps.join(wanted, "row").select("row", "doc_id", "tk"), "wanted")
 
     def build(batches):
         for b in batches:
             for at, end, words in chunks(b.column("text"), True):
                 x, own = shingles(words, gram)
-                cuts = np.searchsorted(own, np.arange(end - at + 1))
-                d = np.zeros((2, end - at), U64)
-                np.add.at(d[0], own, mix64(x ^ U64(0x1111)))
-                np.add.at(d[1], own, mix64(x ^ U64(0x2222)))
-                part = b.slice(at, end - at)
-                ok = (signed(d[0]) == part.column("d1").to_numpy()) & (signed(d[1]) == part.column("d2").to_numpy())
-                keep = np.flatnonzero(ok)  # another text under the same id isn't the one
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(keep)), pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in keep.tolist()], pa.binary())], names=["row", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("row", "text", "d1", "d2").mapInArrow(build, "row bigint, set binary")
-    sets = stored(sets, "shingles")
+                cuts = np.searchsorted(own, np.arange(end - at + 1)).tolist()
+                yield pa.RecordBatch.from_arrays([b.slice(at, end - at).column("row"), pa.array([x[p:q].tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["row", "set"])
+
+    sets = stored(with_texts(docs, wanted).mapInArrow(build, "row bigint, set binary").dropDuplicates(["row"]), "shingles")
 
     def meet(batches):
         for b in batches:
-            both = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), assume_unique=True)) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64())], names=["a", "b", "both"])
 
     x = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-    return x.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, both bigint").distinct()
+    return x.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, both bigint")
+
+
+def meeting(members: DataFrame, *columns: str) -> DataFrame:
+    """Every two members (sig, a row, more columns) of a signature once, in no order, as columns with the suffixes a and b (rows a and b).
+
+    The members of a signature are cut into blocks of about BLOCK by a hash of
+    the row; a pair of blocks is a join key, so no task holds a whole group.
+    """
+    n = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(n, "sig").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    a = m.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    a = a.select("sig", F.col("block").alias("i"), F.col("other").alias("j"), F.col("row").alias("a"), *[F.col(c).alias(f"{c}a") for c in columns])
+    b = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    b = b.select("sig", F.col("other").alias("i"), F.col("block").alias("j"), F.col("row").alias("b"), *[F.col(c).alias(f"{c}b") for c in columns])
+    return a.join(b, ["sig", "i", "j"]).filter("i < j or a > b").drop("i", "j")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
@@ -210,33 +255,42 @@ def join(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame
     return classes(docs, percent, gram).select("doc_id", "n_shingles", "component_id")
 
 
+def _reps(all_sets: DataFrame) -> DataFrame:
+    """One row of each distinct set, its copies, and the smallest id among them."""
+    first = F.min(F.struct("row", "doc_id", "tk", "sketch")).alias("r")
+    x = all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(first, F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    return stored(x.select("n", "d1", "d2", "r.row", "r.doc_id", "r.tk", "r.sketch", "copies", "low"), "reps")
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
     """doc_id, tk, n_shingles, root, component_id of every row: root tells components apart where ids repeat and is null for empty sets."""
-    all_sets = described(docs, percent, gram)
-    reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id", "sketch")).alias("r")).select("n", "d1", "d2", "r.row", "r.doc_id", "r.sketch"), "reps")
-    sig_rows = all_sets.join(reps.select("row"), "row", "left_semi").select(F.explode("sigs").alias("sig"), "row")
-    star = stars(sig_rows)
+    all_sets = described(docs, gram)
+    reps = _reps(all_sets)
+    star = stars(signature_rows(docs, reps, percent, gram))
     size = reps.select("row", "n", "sketch")
     # a signature that runs over partitions has several heads; they meet at the smallest
-    bridges = star.filter("kind = 1").groupBy("sig").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low < high").select("sig", "low")
-    bridge = star.filter("kind = 1").join(bridges, "sig").filter("head > low").select(F.col("head").alias("a"), F.col("low").alias("b"))
-    pairs = star.filter("kind = 0").select(F.col("row").alias("a"), F.col("head").alias("b")).union(bridge).distinct()
+    edges = star.filter("kind = 1")
+    bridges = edges.groupBy("sig").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low < high").select("sig", "low")
+    bridge = edges.join(bridges, "sig").filter("head > low").select("sig", F.col("head").alias("row"), F.col("low").alias("head"))
+    ties = stored(star.filter("kind = 0").select("sig", "row", "head").unionByName(bridge), "ties")
+    pairs = ties.select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(size.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     na, nb = F.col("na"), F.col("nb")
     pairs = stored(pairs.withColumn("fits", sized(na, nb, percent) & close(na, nb, F.col("sa"), F.col("sb"), percent)).drop("sa", "sb"), "pairs")
-    seen = stored(_linked(pairs.filter("fits"), verified(pairs.filter("fits").select("a", "b"), reps, docs, gram), percent), "seen")
-    roots = components(seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = _across(star, bridges, pairs, seen, roots, size, percent)
-    rest = stored(rest, "rest")
+    fits = pairs.filter("fits")
+    seen = stored(_linked(fits, verified(fits.select("a", "b"), reps, docs, gram), percent), "seen")
+    linked = seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(linked)
+    rest = stored(_across(ties, pairs, seen, roots, size, percent), "rest")
     if rest.limit(1).count():
         more = _linked(rest, verified(rest.select("a", "b"), reps, docs, gram), percent).filter("linked")
-        roots = components(seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(more.select("a", "b")))
-    nodes = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("n", "d1", "d2", F.coalesce("root", "row").alias("root"))
-    full = all_sets.select("doc_id", "tk", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
-    lowest = full.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
-    out = full.join(lowest, "root", "left")
-    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+        roots = components(linked.union(more.select("a", "b")))
+    nodes = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("n", "d1", "d2", "low", F.coalesce("root", "row").alias("root"))
+    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    nodes = stored(nodes.drop("low").join(lowest, "root"), "nodes")
+    out = all_sets.select("doc_id", "tk", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
+    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def links(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFrame:
@@ -245,11 +299,10 @@ def links(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFram
     Every pair of different sets that share a signature is verified, inside
     components too, so the work grows with the square of a group of near copies.
     """
-    all_sets = described(docs, percent, gram)
-    reps = stored(all_sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("row", "doc_id", "sketch")).alias("r"), F.count("*").alias("copies")).select("n", "d1", "d2", "r.row", "r.doc_id", "r.sketch", "copies"), "reps")
-    sigs = all_sets.join(reps.select("row"), "row", "left_semi").select(F.explode("sigs").alias("sig"), "row")
-    a, b = (sigs.select("sig", F.col("row").alias(s)) for s in "ab")
-    pairs = a.join(b, "sig").filter("a < b").select("a", "b").distinct()
+    all_sets = described(docs, gram)
+    reps = _reps(all_sets)
+    sigs = stored(signature_rows(docs, reps, percent, gram).distinct(), "signatures")
+    pairs = meeting(sigs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(reps.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     na, nb = F.col("na"), F.col("nb")
@@ -268,25 +321,24 @@ def _linked(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
 
 
-def _across(star: DataFrame, bridges: DataFrame, pairs: DataFrame, seen: DataFrame, roots: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+def _across(ties: DataFrame, pairs: DataFrame, seen: DataFrame, roots: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a signature, lie in different components so far, and may still be linked."""
     root = roots.select(F.col("node").alias("row"), "root")
-    # stars with a tie that didn't hold and that no other path made up for
+    # ties that didn't hold and that no other path made up for
     apart = pairs.select("a", "b").join(seen.filter("linked").select("a", "b"), ["a", "b"], "left_anti")
     for side in ("a", "b"):
         apart = apart.join(root.select(F.col("row").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
     apart = apart.filter("ra <> rb").select(F.col("a").alias("row"), F.col("b").alias("head"))
-    members = star.filter("kind = 0").select("sig", "row", "head").unionByName(star.filter("kind = 1").join(bridges, "sig").filter("head > low").select("sig", F.col("head").alias("row"), F.col("low").alias("head")))
-    open_sigs = members.join(apart, ["row", "head"]).select("sig").distinct()
-    members = members.join(open_sigs, "sig")
+    open_sigs = ties.join(apart, ["row", "head"]).select("sig").distinct()
+    members = ties.join(open_sigs, "sig")
     known = seen.select(F.col("a").alias("row"), F.col("b").alias("head"), "d")
     members = members.join(known, ["row", "head"], "left").select("sig", "row", "head", "d").unionByName(members.select("sig", F.col("head").alias("row"), "head", F.lit(0.0).alias("d")).distinct())
     members = members.join(root, "row", "left").withColumn("root", F.coalesce("root", "row")).join(size, "row")
     members = stored(members, "members")
-    a, b = (members.select("sig", "head", *[F.col(c).alias(f"{c}{s}") for c in ("row", "d", "root", "n", "sketch")]) for s in "ab")
-    a, b = a.withColumnRenamed("rowa", "a"), b.withColumnRenamed("rowb", "b").withColumnRenamed("head", "headb")
-    may = (F.col("a") > F.col("b")) & (F.col("roota") != F.col("rootb")) & sized(F.col("na"), F.col("nb"), percent)
-    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (100 - percent) / 100 + 1e-9, F.lit(True)) | (F.col("head") != F.col("headb"))
-    near &= close(F.col("na"), F.col("nb"), F.col("sketcha"), F.col("sketchb"), percent)
-    x = a.join(b, "sig").filter(may & near).select("a", "b", "na", "nb").distinct()
+    both = meeting(members, "head", "d", "root", "n", "sketch")
+    na, nb = F.col("na"), F.col("nb")
+    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (100 - percent) / 100 + 1e-9, F.lit(True)) | (F.col("heada") != F.col("headb"))
+    may = (F.col("roota") != F.col("rootb")) & sized(na, nb, percent) & near & close(na, nb, F.col("sketcha"), F.col("sketchb"), percent)
+    first = F.col("a") > F.col("b")
+    x = both.filter(may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(first, na).otherwise(nb).alias("na"), F.when(first, nb).otherwise(na).alias("nb")).distinct()
     return x.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")

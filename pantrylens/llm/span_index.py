@@ -2,17 +2,24 @@
 
 A window is 50 consecutive words.  Its *anchor* is the smallest hash among its
 8-word grams, so equal windows have equal anchors.  Consecutive windows with
-one anchor form a *run* of a document, stored as (anchor, two independent
-hashes of the run's words, doc_id, start, n).  The index keeps immutable runs
+one anchor form a *run* of a document, stored as (anchor, fingerprint of the
+run's words, doc_id, start, n).  The index keeps immutable runs
 files sorted by anchor; a batch is fingerprinted once, written as a new file,
 and merge-joined by anchor with all files: equal runs of earlier documents
-settle whole runs, and only distinct runs whose anchor another one shares are
-opened into windows, which are compared by two independent 64-bit hashes.
-When files pile up they are compacted into one that keeps the first document
-of each distinct run.  The outcome equals that of comparing every window with
-every window of smaller ids; nothing is sampled or capped.
+settle whole runs, and distinct runs whose anchor another one shares are noted
+to be opened into windows.  When files pile up they are compacted into one that
+keeps the first document of each distinct run.  At the end the noted runs of
+all batches are opened in one pass over the texts, and their windows compared.
+The outcome equals that of comparing every window with every window of smaller
+ids; nothing is sampled or capped.
 
-Batches must come in ascending ranges of doc_id, as "first" means the smallest.
+Anchors only bring candidates together.  What decides is a 128-bit BLAKE2b
+digest of the words of the run or window themselves, joined by one space - not
+of hashes of words - so a match is verified on the words of both sides, and
+texts that are made to collide in the anchors' hashes are told apart.
+
+Batches must come in ascending ranges of doc_id, as "first" means the smallest;
+a batch that does not is refused.
 
 Defined cases: null and empty texts have no words; texts below 50 words have
 no windows and lose nothing; rows with a null id neither remove nor lose words;
@@ -29,27 +36,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import WORD_POLY, WORD_POLY_B, U64, Words, chunks, mix64, signed
+from .bytetext import U64, Words, chunks, gathered, range_hashes, signed
 from .shared import new_path, stored
 
 WINDOW, GRAM = 50, 8
+#: Batches of a whole corpus, and runs files that are merged into one.
+BATCHES, FAN_OUT = 3, 2
 RUN = "anchor bigint, f1 bigint, f2 bigint, doc_id bigint, tk bigint, start int, n int"
+OPEN = "doc_id bigint, tk bigint, start int, n int"
 WIN = "w1 bigint, w2 bigint, doc_id bigint, tk bigint, pos int"
 
 
 class Windows:
-    """Windows of the texts of a chunk: valid starts, anchors, and hashes of word ranges."""
+    """Windows of the texts of a chunk: valid starts, anchors, and digests of word ranges."""
 
-    def __init__(self, words: Words, window: int = WINDOW, gram: int = GRAM) -> None:
-        self.window = window
-        h = words.hashes()
-        n = len(h)
-        left = np.repeat(words.first[1:], words.counts) - np.arange(n)
+    def __init__(self, words: Words, window: int = WINDOW) -> None:
+        self.words = words
+        left = np.repeat(words.first[1:], words.counts) - np.arange(len(words.starts))
         self.valid = left >= window
-        self.a, self.b = WORD_POLY.prefix(h), WORD_POLY_B.prefix(mix64(h ^ U64(0x5DEECE66D)))
+        # every word with one space behind it
+        sizes = words.ends - words.starts + 1
+        text = gathered(np.append(words.buf, np.uint8(32)), words.starts, sizes) if len(sizes) else words.buf[:0]
+        self.upto = np.concatenate([[0], np.cumsum(sizes)])
+        text[self.upto[1:] - 1] = 32
+        self.text = memoryview(text.tobytes())
+
+    def anchors(self, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+        h = self.words.hashes()
+        n = len(h)
         grams = np.full(n, np.iinfo(np.uint64).max, U64)
         at = np.arange(max(0, n - gram + 1))
-        grams[: len(at)] = WORD_POLY.ranges(self.a, at, at + gram)
+        grams[: len(at)] = range_hashes(h, at, at + gram)
         # minimum over window - gram + 1 grams by doubling
         span, low = window - gram + 1, grams
         k = 1
@@ -57,10 +74,14 @@ class Windows:
             low = np.minimum(low, np.concatenate([low[k:], low[:k]]) if n > k else low)
             k *= 2
         shift = span - k
-        self.anchors = np.minimum(low, np.concatenate([low[shift:], low[:shift]])) if 0 < shift < n else low
+        return np.minimum(low, np.concatenate([low[shift:], low[:shift]])) if 0 < shift < n else low
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return WORD_POLY.ranges(self.a, starts, ends), WORD_POLY_B.ranges(self.b, starts, ends)
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the digest of the words start:end, for every range."""
+        text, new = self.text, hashlib.blake2b
+        got = b"".join([new(text[a:z], digest_size=16).digest() for a, z in zip(self.upto[starts].tolist(), (self.upto[ends] - 1).tolist(), strict=True)])
+        pairs = np.frombuffer(got, "<i8").reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -74,14 +95,14 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 v = w.valid
                 if not v.any():
                     continue
-                fresh = v.copy()
-                fresh[1:] &= ~(v[:-1] & (own[1:] == own[:-1]) & (w.anchors[1:] == w.anchors[:-1]))
+                anchors, fresh = w.anchors(window), v.copy()
+                fresh[1:] &= ~(v[:-1] & (own[1:] == own[:-1]) & (anchors[1:] == anchors[:-1]))
                 starts = np.flatnonzero(fresh)
                 group = np.cumsum(fresh)[v] - 1
                 n = np.bincount(group, minlength=len(starts))
-                f1, f2 = w.hashes(starts, starts + n + window - 1)
+                f1, f2 = w.digests(starts, starts + n + window - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(w.anchors[starts])), pa.array(signed(f1)), pa.array(signed(f2)), pa.array(ids[at:end][own[starts]]), pa.array(keys[at:end][own[starts]]), pa.array((starts - words.first[own[starts]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [pa.array(signed(anchors[starts])), pa.array(f1), pa.array(f2), pa.array(ids[at:end][own[starts]]), pa.array(keys[at:end][own[starts]]), pa.array((starts - words.first[own[starts]]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["anchor", "f1", "f2", "doc_id", "tk", "start", "n"],
                 )
 
@@ -89,7 +110,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def opened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Hashes of the windows in the ranges `runs` (start, n) of each document (doc_id, tk, text, runs)."""
+    """Digests of the windows in the ranges `runs` (start, n) of each document (doc_id, tk, text, runs)."""
 
     def run(batches):
         for batch in batches:
@@ -104,9 +125,9 @@ def opened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 m = n[r]
                 first = words.first[own] + start[r]
                 pos = np.arange(int(m.sum())) + np.repeat(first - (np.cumsum(m) - m), m)
-                w1, w2 = w.hashes(pos, pos + window)
+                w1, w2 = w.digests(pos, pos + window)
                 d = np.repeat(own, m)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[at:end][d]), pa.array(keys[at:end][d]), pa.array((pos - words.first[d]).astype(np.int32))], names=["w1", "w2", "doc_id", "tk", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(ids[at:end][d]), pa.array(keys[at:end][d]), pa.array((pos - words.first[d]).astype(np.int32))], names=["w1", "w2", "doc_id", "tk", "pos"])
 
     return docs.mapInArrow(run, WIN)
 
@@ -114,9 +135,10 @@ def opened(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs files of all documents so far, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fan_out: int = 4, window: int = WINDOW) -> None:
+    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, window: int = WINDOW) -> None:
         self.spark, self.fan_out, self.window = spark, fan_out, window
         self.files: list[str] = []
+        self.last: int | None = None
 
     def _read(self, files: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*files) if files else self.spark.createDataFrame([], RUN)
@@ -126,36 +148,36 @@ class FingerprintIndex:
         runs.sortWithinPartitions("anchor", "f1", "f2").write.parquet(path)
         return path
 
-    def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """Index a batch; ranges (doc_id, tk, start, n) of its windows that start in an earlier document.
+    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index a batch (doc_id, tk, text) of larger ids than all before; no text of an earlier batch is read.
 
-        texts holds (doc_id, tk, text) of every document so far.
+        Gives the runs of the batch that an earlier document holds whole, and
+        the runs (of any batch) that must be opened into windows, both as
+        (doc_id, tk, start, n).
         """
-        history = list(self.files)
+        least, most = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if least is None:
+            return self.spark.createDataFrame([], OPEN), self.spark.createDataFrame([], OPEN)
+        if self.last is not None and least <= self.last:
+            raise ValueError(f"a batch that starts at id {least} after id {self.last}")
+        self.last = most
         new = self._write(fingerprints(batch, self.window))
         runs = self._read([new]).withColumn("new", F.lit(True))
-        if history:
-            runs = runs.unionByName(self._read(history).withColumn("new", F.lit(False)))
+        if self.files:
+            runs = runs.unionByName(self._read(self.files).withColumn("new", F.lit(False)))
         shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("new").alias("any_new")).filter("lo < hi and any_new").select("anchor")
         runs = runs.join(shared, "anchor")
         key = ["anchor", "f1", "f2"]
         firsts = stored(runs.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("new").alias("fresh")), "firsts")
-        placed = runs.join(firsts.select(*key, "lo"), key)
-        equal = placed.filter("new and doc_id > lo").select("doc_id", "tk", "start", "n")
-        # distinct runs under an anchor that several of them share: their windows are compared one by one
-        several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 and fresh").select("anchor")
-        open_runs = placed.filter("doc_id = lo").join(several, "anchor").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-        windows = stored(opened(texts.join(open_runs, ["doc_id", "tk"]).select("doc_id", "tk", "text", "runs"), self.window), "windows")
-        first_of = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
-        single = windows.join(first_of, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
-        if history:
-            # a range (not a list) of ids: batches ascend
-            least = batch.agg(F.min("doc_id")).first()[0]
-            single = single.filter(F.col("doc_id") >= F.lit(least)) if least is not None else single
+        # distinct runs under an anchor that several of them share, one of them new
+        several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 and fresh").select("anchor", F.lit(True).alias("open"))
+        firsts = firsts.select(*key, "lo").join(several, "anchor", "left")
+        placed = runs.join(firsts, key).filter("new and doc_id > lo or open and doc_id = lo")
+        placed = stored(placed.select("doc_id", "tk", "start", "n", (F.col("doc_id") > F.col("lo")).alias("equal")), "placed")
         self.files.append(new)
         if len(self.files) >= self.fan_out:
             self.compact()
-        return equal.unionByName(single)
+        return placed.filter("equal").drop("equal"), placed.filter("not equal").drop("equal")
 
     def compact(self) -> None:
         """One sorted file in place of all: the first document of each distinct run."""
@@ -163,18 +185,26 @@ class FingerprintIndex:
         self.files = [self._write(merged)]
 
 
-def dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW) -> DataFrame:
+def repeated_windows(texts: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Windows (doc_id, tk, start, n = 1) of the runs that also start in a run of a document with a smaller id; texts is read once."""
+    per_doc = runs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    windows = stored(opened(texts.join(per_doc, ["doc_id", "tk"]).select("doc_id", "tk", "text", "runs"), window), "windows")
+    first_of = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
+    return windows.join(first_of, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
+
+
+def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of every row, the corpus indexed in ascending batches."""
     index = FingerprintIndex(docs.sparkSession, window=window)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.filter("doc_id is not null")
     lo, hi = (int(x or 0) for x in known.agg(F.min("doc_id"), F.max("doc_id")).first())
     cuts = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
-    found = None
+    found = to_open = docs.sparkSession.createDataFrame([], OPEN)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        part = known.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b))
-        ranges = index.add(part, known.filter(F.col("doc_id") < b))
-        found = ranges if found is None else found.unionByName(ranges)
+        equal, several = index.add(known.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+        found, to_open = found.unionByName(equal), to_open.unionByName(several)
+    found = found.unionByName(repeated_windows(known, to_open, window))
     per_doc = found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return cut_out(base.join(per_doc, ["doc_id", "tk"], "left").select("doc_id", "text", "runs"), window)
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts, by a public byte-level BPE vocabulary.
 
 Texts are cut into white space and words with their leading space; within a
-chunk every distinct word is encoded once, and ids are gathered from there.
+chunk every distinct word (found by hash, compared by its bytes) is encoded
+once, and ids are gathered from there.
 Where that cut could differ from the tokenizer's own (white space beyond ASCII,
 special tokens in a text) the text is encoded as a whole.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .bytetext import U64, Words, buffers, spans
+from .bytetext import U64, Words, buffers, gathered, same_bytes, spans
 
 #: The pre-tokenizer of byte-level BPE (public pattern, fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,12 +60,6 @@ def odd_texts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at[hit] + offsets[0], "right") - 1)
 
 
-def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[start:start+size] of every range, joined."""
-    upto = np.cumsum(sizes) - sizes
-    return values[np.arange(int(sizes.sum())) + np.repeat(starts - upto, sizes)]
-
-
 class Encoder:
     def __init__(self, path: str) -> None:
         self.enc, self.sizes = encoding(path)
@@ -97,6 +92,12 @@ class Encoder:
         spaced = (s > begin) & (w.buf[np.maximum(s - 1, 0)] == 32)
         key = w.hashes() * U64(2) + spaced.astype(U64)
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        size = e - s
+        if not ((size == size[first][which]) & same_bytes(w.buf, s, s[first][which], np.minimum(size, size[first][which]))).all():
+            # two words of one hash: tell the words apart by themselves
+            seen: dict[tuple[bytes, bool], int] = {}
+            which = np.array([seen.setdefault((b[x:y], bool(z)), len(seen)) for x, y, z in zip(s.tolist(), e.tolist(), spaced.tolist(), strict=True)])
+            first = np.unique(which, return_index=True)[1]
         none = np.zeros(0, np.int64)
         ids, ends = self._distinct(w.buf, s[first], e[first], spaced[first]) if len(first) else (none, none)
         lead = np.concatenate([[0], ends[:-1]]) + ~spaced[first] if len(ends) else ends  # the line feed is not the word's

@@ -63,14 +63,6 @@ def test_span_index(docs):
         assert sorted(got) == sorted(want)
 
 
-def test_compaction_keeps_the_outcome(spark, docs):
-    index = span_index.FingerprintIndex(spark, fan_out=2)
-    reps = docs.filter("text is not null").selectExpr("doc_id", "xxhash64(text) AS tk", "text")
-    for a, b in ((0, 3), (3, 6), (6, 99)):
-        index.add(reps.filter(f"doc_id >= {a} and doc_id < {b}"), reps.filter(f"doc_id < {b}")).count()
-    assert len(index.files) == 1
-
-
 def test_jaccard_join(docs):
     rows = make()
     sets = {}
