@@ -1,14 +1,16 @@
 """Quality classifier: a linear-chain conditional random field over lines.
 
 Every line with a word gets features of itself and of its neighbours; the
-chain labels it good or bad.  Weights are trained in numpy on a bounded sample
-of labelled documents, whose lines take the document's label.  A document's
+chain labels it good or bad.  Weights are trained in numpy, in one task of the
+cluster, on a bounded sample of labelled documents, whose lines take the
+document's label.  A document's
 quality is the length-weighted mean of the forward-backward marginals of
 "good", calibrated to a probability.
 
 Defined cases: null and empty texts have no lines and a mean of 0, which
 calibrates to a low score; any number and length of lines is read; repeated
-rows score alike; without labels of both classes every score is 0.
+rows score alike; a null id is not held out; without labels of both classes
+every score is 0.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Words, buffers, spans
 from .shared import fold
-from .toxicity import sample
+from .toxicity import in_one_task, sample
 
 KINDS = {
     "symbol": np.isin(np.arange(256), list(b"#*$%&|<>")),
@@ -176,7 +178,6 @@ def scorer(model: Model | None):
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    texts, y = sample(docs, labels, "quality", 3, 1)
-    model = train(texts, y) if len(set(y)) == 2 else None
-    x = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), scorer(model)(F.col("text")).alias("score"))
+    model = in_one_task(sample(docs, labels, "quality", 3, 1), train)
+    x = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), scorer(model)(F.col("text")).alias("score"))
     return x.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
