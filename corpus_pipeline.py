@@ -14,7 +14,7 @@ from pantrylens.llm.shared import stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score stays below 0.5."""
+    """Documents whose calibrated score stays below 0.5; null and empty texts stay, and all do without labels of both classes."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("_toxicity", toxicity.toxicity(docs, model)).filter(F.col("_toxicity") < 0.5).drop("_toxicity")
 
@@ -29,19 +29,23 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "n")).alias("k"))
     kept = first.select("k.doc_id", "k.tk", "k.n").unionByName(rows.filter("root is null").select("doc_id", "tk", "n"))
     kept = stored(kept.toDF("_id", "_tk", "_n"), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_tk"]), "left_semi")
+    side = F.broadcast(kept) if kept.count() <= jaccard.BROADCAST_ROWS else kept
+    out = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_tk"]), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if kept.filter("_n > 1").limit(1).count() else out
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data masked; null texts stay null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the last time perhaps in part; texts without a word are not taken."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; a null or empty text is the closing id alone."""
     return packing.pack(docs)
 
 
