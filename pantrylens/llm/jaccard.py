@@ -6,15 +6,18 @@ the shingle domain is cut by hash into n1 parts of three sub-parts, where n1
 exceeds half the largest symmetric difference that a linked pair can have.
 Some part then holds at most one difference, so two of its three sub-parts
 agree: enumerating the pairs of sub-parts gives signatures of which any linked
-pair shares one.  Sets that share a signature are compared with the first of
+pair shares one.  A few parts are spare, so that as many parts more hold at
+most one difference: a set in which no more parts than these have an empty pair
+of sub-parts needs no signature of nothing, which unrelated sets would share.  Sets that share a signature are compared with the first of
 them (a star, never all pairs) and verified exactly.  Where a star leaves a
 signature's sets in several components, the remaining pairs across components
 are verified too, less those that the triangle inequality of the Jaccard
 distance rules out; a signature with many such sets is cut into blocks of
 BLOCK sets, and every pair of blocks is a join key of its own.  Before a pair
-is verified its parity sketches are compared: the number of bits in which they
-differ never exceeds the symmetric difference of the sets, so what they rule
-out is no link; none is lost.
+is verified its parity sketches are compared, short ones first and then some
+as long as the sets need: the number of bits in which they differ never exceeds
+the symmetric difference of the sets, so what they rule out is no link; none is
+lost.
 
 Signatures are never stored: they are computed from the texts of distinct sets
 on their way into one range partitioning together with their sets, so one
@@ -44,6 +47,8 @@ PERCENT, GRAM = 90, 3
 SKETCH = 8
 #: Most rows of (row, doc_id, tk), 24 bytes each, that are broadcast.
 BROADCAST_ROWS = 1 << 18
+#: Most bytes of sketches or sets that are broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Sets of one signature that are compared with each other in one task.
 BLOCK = 512
 
@@ -76,33 +81,41 @@ class Bands:
         self.low = np.array(self.low)
         # the largest symmetric difference of a linked pair of sizes up to `high`
         k = 2 * np.array(high) * (100 - percent) // (100 + percent)
-        self.parts = k // 2 + 1
+        self.spare = 1 + (k // 2 + 1) // 40
+        self.parts = k // 2 + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
 
 def signatures(x: np.ndarray, owner: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures, and how many each set has (sets in order)."""
-    n, out, counts = len(sizes), [], []
+    """All signatures, and how many each set has (sets in order).
+
+    Signatures of two empty sub-parts are left out unless more parts of the set
+    have one than are spare: else some part with at most one difference has none.
+    """
+    n, out, owners = len(sizes), [], []
     band = bands.of(np.maximum(sizes, 1))
     value, place = mix64(x ^ U64(0xA5A5A5A5)), mix64(x ^ U64(0x77777777)) >> U64(11)
     for step in (0, 1):
         n1 = np.where(sizes > 0, bands.parts[band + step], 0)
         base = np.cumsum(n1) - n1
         slot = base[owner] * 3 + (place % (3 * n1[owner]).astype(U64)).astype(np.int64)
-        sums = np.zeros(3 * int(n1.sum()), U64)
+        size = 3 * int(n1.sum())
+        sums = np.zeros(size, U64)
         np.add.at(sums, slot, value)
-        sums = sums.reshape(-1, 3)
+        sums, held = sums.reshape(-1, 3), np.bincount(slot, minlength=size).reshape(-1, 3)
         pairs = sums.sum(1, dtype=U64)[:, None] - sums
+        nothing = held.sum(1)[:, None] == held
         own = np.repeat(np.arange(n), n1)
+        poor = np.bincount(own, nothing.any(1), n) > bands.spare[band + step]
         at = (np.arange(len(own)) - base[own]).astype(U64)
         seed = mix64(((band[own] + step).astype(U64) << U64(40))[:, None] + (at << U64(2))[:, None] + np.arange(3, dtype=U64))
-        out.append((mix64(pairs ^ seed), own))
-        counts.append(3 * n1)
-    sig = np.concatenate([s.ravel() for s, _ in out])
-    own = np.concatenate([np.repeat(o, 3) for _, o in out])
-    return sig[np.argsort(own, kind="stable")], counts[0] + counts[1]
+        kept = ~nothing | poor[own][:, None]
+        out.append(mix64(pairs ^ seed)[kept])
+        owners.append(np.repeat(own, 3)[kept.ravel()])
+    sig, own = np.concatenate(out), np.concatenate(owners)
+    return sig[np.argsort(own, kind="stable")], np.bincount(own, minlength=n)
 
 
 def sketches(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -212,8 +225,25 @@ def close(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Colum
     return bits * (100 + percent) <= (100 - percent) * (na + nb)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
-    """(a, b, both) of each pair (a, b) of rows: the size of the intersection of their sets, rebuilt from the texts."""
+def long_sketch(x: np.ndarray) -> bytes:
+    """A parity sketch of a power of two of bits, twice the set's size at least; half of it is the exclusive or of its halves."""
+    bits = max(64 * SKETCH, 1 << (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((mix64(x ^ U64(0x5555)) & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two long sketches differ, at the width of the shorter one."""
+    x, y = (np.frombuffer(z, U64) for z in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, gram: int) -> DataFrame:
+    """(a, b, na, nb, both) of the pairs (a, b, na, nb) of rows that their long sketches don't rule out: the size of the intersection of their sets, rebuilt from the texts."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     wanted = stored(reps.join(wanted, "row").select("row", "doc_id", "tk"), "wanted")
 
@@ -222,17 +252,32 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, gram: int) -> D
             for at, end, words in chunks(b.column("text"), True):
                 x, own = shingles(words, gram)
                 cuts = np.searchsorted(own, np.arange(end - at + 1)).tolist()
-                yield pa.RecordBatch.from_arrays([b.slice(at, end - at).column("row"), pa.array([x[p:q].tobytes() for p, q in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["row", "set"])
+                parts = [x[p:q] for p, q in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.slice(at, end - at).column("row"), pa.array([long_sketch(y) for y in parts], pa.binary()), pa.array([y.tobytes() for y in parts], pa.binary())], names=["row", "long", "set"])
+
+    sets = stored(with_texts(docs, wanted).mapInArrow(build, "row bigint, long binary, set binary").dropDuplicates(["row"]), "shingles")
 
-    sets = stored(with_texts(docs, wanted).mapInArrow(build, "row bigint, set binary").dropDuplicates(["row"]), "shingles")
+    def compared(batches):
+        for b in batches:
+            both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            bits = np.array([differing(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("la"), b.column("lb"), strict=True)], np.int64)
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(bits * (100 + percent) <= (100 - percent) * both))
 
     def meet(batches):
         for b in batches:
             both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), assume_unique=True)) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64())], names=["a", "b", "both"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("a", "b", "na", "nb")], pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+
+    def beside(x: DataFrame, column: str, bytes_: int) -> DataFrame:
+        """x with a column of the sets of both sides; the sets come by broadcast while they have no more than BROADCAST_BYTES."""
+        for side in "ab":
+            right = sets.select(F.col("row").alias(side), F.col(column).alias(f"{column[0]}{side}"))
+            x = x.join(F.broadcast(right) if bytes_ <= BROADCAST_BYTES else right, side)
+        return x.select("a", "b", "na", "nb", f"{column[0]}a", f"{column[0]}b")
 
-    x = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-    return x.select("a", "b", "sa", "sb").mapInArrow(meet, "a bigint, b bigint, both bigint")
+    sizes = sets.agg(*[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in ("long", "set")]).first()
+    near = stored(beside(pairs.select("a", "b", "na", "nb"), "long", sizes[0]).mapInArrow(compared, "a bigint, b bigint, na bigint, nb bigint"), "near")
+    return beside(near, "set", sizes[1]).mapInArrow(meet, "a bigint, b bigint, na bigint, nb bigint, both bigint")
 
 
 def meeting(members: DataFrame, *columns: str) -> DataFrame:
@@ -279,12 +324,12 @@ def classes(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFr
     na, nb = F.col("na"), F.col("nb")
     pairs = stored(pairs.withColumn("fits", sized(na, nb, percent) & close(na, nb, F.col("sa"), F.col("sb"), percent)).drop("sa", "sb"), "pairs")
     fits = pairs.filter("fits")
-    seen = stored(_linked(fits, verified(fits.select("a", "b"), reps, docs, gram), percent), "seen")
+    seen = stored(_linked(verified(fits, reps, docs, percent, gram), percent), "seen")
     linked = seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(linked)
     rest = stored(_across(ties, pairs, seen, roots, size, percent), "rest")
     if rest.limit(1).count():
-        more = _linked(rest, verified(rest.select("a", "b"), reps, docs, gram), percent).filter("linked")
+        more = _linked(verified(rest, reps, docs, percent, gram), percent).filter("linked")
         roots = components(linked.union(more.select("a", "b")))
     nodes = reps.join(roots.withColumnRenamed("node", "row"), "row", "left").select("n", "d1", "d2", "low", F.coalesce("root", "row").alias("root"))
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -307,18 +352,17 @@ def links(docs: DataFrame, percent: int = PERCENT, gram: int = GRAM) -> DataFram
         pairs = pairs.join(reps.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     na, nb = F.col("na"), F.col("nb")
     pairs = stored(pairs.filter(sized(na, nb, percent) & close(na, nb, F.col("sa"), F.col("sb"), percent)).select("a", "b", "na", "nb"), "pairs")
-    linked = stored(_linked(pairs, verified(pairs.select("a", "b"), reps, docs, gram), percent).filter("linked").select("a", "b"), "links")
+    linked = stored(_linked(verified(pairs, reps, docs, percent, gram), percent).filter("linked").select("a", "b"), "links")
     near = linked.union(linked.select("b", "a")).join(reps.select(F.col("row").alias("b"), "copies"), "b").groupBy(F.col("a").alias("row")).agg(F.sum("copies").alias("near"))
     nodes = reps.join(near, "row", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     out = all_sets.select("doc_id", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _linked(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+def _linked(met: DataFrame, percent: int) -> DataFrame:
     """a, b, linked and the Jaccard distance d."""
-    x = pairs.select("a", "b", "na", "nb").join(met, ["a", "b"])
     union = F.col("na") + F.col("nb") - F.col("both")
-    return x.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
+    return met.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked"), (1 - F.col("both") / union).alias("d"))
 
 
 def _across(ties: DataFrame, pairs: DataFrame, seen: DataFrame, roots: DataFrame, size: DataFrame, percent: int) -> DataFrame:
