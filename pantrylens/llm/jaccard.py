@@ -69,7 +69,7 @@ def shingles(words: Words, gram: int = GRAM, *seeds: int) -> tuple[np.ndarray, .
 
 
 class Bands:
-    """Size bands of PartEnum: a set of band i takes part in the instances i and i + 1."""
+    """Size bands of PartEnum: instance i is for pairs whose smaller set is in band i, so a set of band i takes part in the instances i and i - 1."""
 
     def __init__(self, percent: int = PERCENT, most: int = 1 << 32) -> None:
         self.low, low = [], 1
@@ -79,9 +79,9 @@ class Bands:
             high.append(low * 100 // percent)
             low = high[-1] + 1
         self.low = np.array(self.low)
-        # the largest symmetric difference of a linked pair of sizes up to `high`
-        k = 2 * np.array(high) * (100 - percent) // (100 + percent)
-        self.spare = 1 + (k // 2 + 1) // 40
+        # the largest symmetric difference of a linked pair whose smaller set has up to `high` shingles
+        k = np.array(high) * (100 - percent) // percent
+        self.spare = 1 + (k // 2 + 1) // 12
         self.parts = k // 2 + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -98,19 +98,22 @@ def signatures(x: np.ndarray, owner: np.ndarray, sizes: np.ndarray, bands: Bands
     band = bands.of(np.maximum(sizes, 1))
     value, place = mix64(x ^ U64(0xA5A5A5A5)), mix64(x ^ U64(0x77777777)) >> U64(11)
     for step in (0, 1):
-        n1 = np.where(sizes > 0, bands.parts[band + step], 0)
+        instance = np.maximum(band - step, 0)
+        n1 = np.where((sizes > 0) & (band >= step), bands.parts[instance], 0)
         base = np.cumsum(n1) - n1
-        slot = base[owner] * 3 + (place % (3 * n1[owner]).astype(U64)).astype(np.int64)
+        member = n1[owner] > 0
+        who = owner[member]
+        slot = base[who] * 3 + (place[member] % (3 * n1[who]).astype(U64)).astype(np.int64)
         size = 3 * int(n1.sum())
         sums = np.zeros(size, U64)
-        np.add.at(sums, slot, value)
+        np.add.at(sums, slot, value[member])
         sums, held = sums.reshape(-1, 3), np.bincount(slot, minlength=size).reshape(-1, 3)
         pairs = sums.sum(1, dtype=U64)[:, None] - sums
         nothing = held.sum(1)[:, None] == held
         own = np.repeat(np.arange(n), n1)
-        poor = np.bincount(own, nothing.any(1), n) > bands.spare[band + step]
+        poor = np.bincount(own, nothing.any(1), n) > bands.spare[instance]
         at = (np.arange(len(own)) - base[own]).astype(U64)
-        seed = mix64(((band[own] + step).astype(U64) << U64(40))[:, None] + (at << U64(2))[:, None] + np.arange(3, dtype=U64))
+        seed = mix64((instance[own].astype(U64) << U64(40))[:, None] + (at << U64(2))[:, None] + np.arange(3, dtype=U64))
         kept = ~nothing | poor[own][:, None]
         out.append(mix64(pairs ^ seed)[kept])
         owners.append(np.repeat(own, 3)[kept.ravel()])
