@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pantrylens.llm import jaccard, mixing, packing, pii, toxicity
-from pantrylens.llm.shared import stored, table
+from pantrylens.llm.shared import stored, stored_alone, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return docs
