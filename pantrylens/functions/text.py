@@ -66,7 +66,7 @@ def strip_prefix(x: Column) -> Column:
     out = x
     for p in reversed(PREFIXES):
         out = F.when(x.rlike(p), F.regexp_replace(x, p, "")).otherwise(out)
-    return out
+    return F.btrim(out, F.lit(" ,.;:"))
 
 
 def vocabulary_term(x: Column) -> Column:

@@ -70,14 +70,112 @@ def selected(assessments: DataFrame) -> DataFrame:
     return x.filter("r = 1").drop("r", "rank")
 
 
-def personal_risk(pairs: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Risk level of every (user_id, label_id, allergen) of interest; NO_MATCH where nothing was assessed."""
-    x = pairs.join(assessments.select("label_id", "allergen", "status", "confidence"), ["label_id", "allergen"], "left")
-    return x.select("user_id", "label_id", "allergen", F.coalesce("status", F.lit("NOT_ASSESSED")).alias("status"), F.when(F.col("status").isNull(), "NO_MATCH").otherwise(mapped(F.col("status"), RISK, "INSUFFICIENT_EVIDENCE")).alias("risk_level"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+#: Fixed texts: reasons by risk level, {} for the allergen.
+REASONS = {
+    "HIGH": "{} is associated with the user's allergy profile and was detected from available ingredient evidence.",
+    "MEDIUM": "{} may be present based on uncertain ingredient evidence; manual verification is recommended.",
+    "LOW": "No known {} allergen was detected from available evidence.",
+    "INSUFFICIENT_EVIDENCE": "Available evidence is insufficient to determine whether {} is present.",
+    "NO_MATCH": "No product allergen assessment is available for this profile allergen.",
+}
+#: Fixed texts: the warning of a product by its overall risk.
+WARNINGS = {
+    "HIGH": "Potentially relevant allergen detected for this user. Manual verification is recommended.",
+    "MEDIUM": "Potential allergen evidence was found, but the evidence is uncertain. Manual verification is recommended.",
+    "INSUFFICIENT_EVIDENCE": "Available evidence is insufficient to determine whether the relevant allergen is present.",
+    "LOW": "No known allergen detected from available evidence.",
+    "NO_MATCH": "No product allergen assessment matched this user profile.",
+}
+
+
+def reason(allergen, level):
+    out = F.lit(None)
+    for name, text in REASONS.items():
+        before, _, after = text.partition("{}")
+        who = F.initcap(allergen) if name in ("HIGH", "MEDIUM") else F.lower(allergen)
+        out = F.when(level == name, F.concat(F.lit(before), who, F.lit(after)) if after else F.lit(text)).otherwise(out)
+    return out
+
+
+def in_order(evidence: DataFrame) -> DataFrame:
+    """(label_id, allergen, ingredients, evidence_types, sources, unresolved): ordered distinct lists; a label's evidence is a few rows."""
+    rows = F.sort_array(F.collect_list(F.struct("stage", "pos", "ingredient", "evidence_type", "source", "supporting_text"))).alias("e")
+    pick = lambda c: F.array_distinct(F.transform("e", lambda x: x[c]))
+    open_ = F.array_distinct(F.transform(F.filter("e", lambda x: x["evidence_type"] == "PARTIAL_MATCH"), lambda x: x["supporting_text"]))
+    return evidence.groupBy("label_id", "allergen").agg(rows).select("label_id", "allergen", pick("ingredient").alias("ingredients"), pick("evidence_type").alias("evidence_types"), pick("source").alias("sources"), open_.alias("unresolved"))
+
+
+def personal_risk(pairs: DataFrame, assessments: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Risk level and reason of every (user_id, label_id, allergen) of interest, with the evidence's lists if it is given.
+
+    NO_MATCH where the allergen was not assessed, INSUFFICIENT_EVIDENCE where
+    nothing of the label was.
+    """
+    known = assessments.select("label_id").distinct().withColumn("any", F.lit(True))
+    x = pairs.join(assessments.select("label_id", "allergen", "status", "confidence"), ["label_id", "allergen"], "left").join(known, "label_id", "left")
+    status = F.coalesce("status", F.when(F.col("any"), "NOT_ASSESSED").otherwise("INSUFFICIENT_EVIDENCE"))
+    x = x.withColumn("status", status).withColumn("risk_level", F.when(F.col("status") == "NOT_ASSESSED", "NO_MATCH").otherwise(mapped(F.col("status"), RISK, "INSUFFICIENT_EVIDENCE")))
+    x = x.select("user_id", "label_id", "allergen", "status", "risk_level", reason(F.col("allergen"), F.col("risk_level")).alias("reason"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    if evidence is None:
+        return x
+    x = x.join(in_order(evidence), ["label_id", "allergen"], "left")
+    none = F.array().cast("array<string>")
+    return x.select("user_id", "label_id", "allergen", "status", "risk_level", "reason", "confidence", *[F.coalesce(c, none).alias(c) for c in ("ingredients", "evidence_types", "sources", "unresolved")])
+
 
+def product_risk(risks: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """(user_id, label_id, overall_risk, matched, warning): the highest level, the allergens of HIGH and MEDIUM by name.
 
-def product_risk(risks: DataFrame) -> DataFrame:
-    """(user_id, label_id, overall_risk, n_matched)."""
+    products holds all (user_id, label_id); those without an allergen of
+    interest are NO_MATCH.
+    """
     x = risks.withColumn("p", mapped(F.col("risk_level"), dict(LEVELS), 1))
-    g = x.groupBy("user_id", "label_id").agg(F.max("p").alias("p"), F.sum(F.col("risk_level").isin("HIGH", "MEDIUM").cast("long")).alias("n_matched"))
-    return g.select("user_id", "label_id", mapped(F.col("p"), {v: k for k, v in LEVELS}).alias("overall_risk"), "n_matched")
+    g = x.groupBy("user_id", "label_id").agg(F.max("p").alias("p"), F.sort_array(F.collect_list(F.when(F.col("risk_level").isin("HIGH", "MEDIUM"), F.col("allergen")))).alias("matched"))
+    if products is not None:
+        g = products.select("user_id", "label_id").join(g, ["user_id", "label_id"], "left")
+    level = mapped(F.coalesce("p", F.lit(1)), {v: k for k, v in LEVELS})
+    return g.select("user_id", "label_id", level.alias("overall_risk"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), mapped(level, WARNINGS).alias("warning"))
+
+
+# --- what the service answers ---------------------------------------------------------
+
+#: Fixed texts: level and reason of a selected allergen by its status, {} for the allergen.
+ANSWERS = {
+    "DETECTED": ("ALLERGEN_FOUND", "{} was detected in the available allergen evidence."),
+    "POTENTIAL": ("POSSIBLE_ALLERGEN", "There is potential evidence for {} in the available evidence."),
+    "NOT_DETECTED": ("NO_MATCH", "{} was not found in the available ingredient evidence."),
+    "INSUFFICIENT_EVIDENCE": ("INSUFFICIENT_EVIDENCE", "There is insufficient evidence to determine whether {} is present."),
+}
+#: Fixed texts: message of the overall level.
+OVERALL = {
+    "ALLERGEN_FOUND": "A selected allergen was detected in the available product evidence.",
+    "POSSIBLE_ALLERGEN": "Potential evidence for a selected allergen was found.",
+    "INSUFFICIENT_EVIDENCE": "There is insufficient evidence to determine whether the selected allergens are present.",
+    "NO_MATCH": "No selected allergen was found in the available ingredient evidence.",
+}
+
+
+def selected_results(selection: DataFrame, assessments: DataFrame, labels: DataFrame) -> DataFrame:
+    """(user_id, label_id, allergen, status, confidence) of selected allergens; what was not assessed is NOT_DETECTED with 1.0 if the label (label_id, any_ingredient) has an ingredient, else INSUFFICIENT_EVIDENCE."""
+    x = selection.withColumn("allergen", F.upper("allergen")).distinct().join(labels, "label_id").join(assessments.select("label_id", "allergen", "status", "confidence"), ["label_id", "allergen"], "left")
+    status = F.coalesce("status", F.when(F.col("any_ingredient"), "NOT_DETECTED").otherwise("INSUFFICIENT_EVIDENCE"))
+    return x.select("user_id", "label_id", "allergen", status.alias("status"), F.round(F.coalesce("confidence", F.when(F.col("any_ingredient"), 1.0).otherwise(0.0)), 4).alias("confidence"))
+
+
+def answers(results: DataFrame) -> DataFrame:
+    """The results with risk_level and reason."""
+    why = F.lit(None)
+    for status, (_, text) in ANSWERS.items():
+        before, _, after = text.partition("{}")
+        why = F.when(F.col("status") == status, F.concat(F.lit(before), F.col("allergen"), F.lit(after))).otherwise(why)
+    return results.select("*", mapped(F.col("status"), {s: a[0] for s, a in ANSWERS.items()}, "INSUFFICIENT_EVIDENCE").alias("risk_level"), why.alias("reason"))
+
+
+def overall_answer(products: DataFrame, told: DataFrame) -> DataFrame:
+    """(user_id, label_id, level, message) of every product; an empty selection is INSUFFICIENT_EVIDENCE."""
+    order = ("ALLERGEN_FOUND", "POSSIBLE_ALLERGEN", "INSUFFICIENT_EVIDENCE", "NO_MATCH")
+    g = told.groupBy("user_id", "label_id").agg(F.min(mapped(F.col("risk_level"), {s: i for i, s in enumerate(order)})).alias("r"))
+    level = F.element_at(F.array(*[F.lit(s) for s in order]), F.coalesce("r", F.lit(2)) + 1)
+    empty = "The available evidence was insufficient to determine the selected allergens."
+    x = products.select("user_id", "label_id").join(g, ["user_id", "label_id"], "left")
+    return x.select("user_id", "label_id", level.alias("level"), F.when(F.col("r").isNull(), empty).otherwise(mapped(level, OVERALL)).alias("message"))

@@ -47,19 +47,20 @@ def tidy_term(text: str) -> str:
 
 
 def without_prefix(text: str) -> str:
-    for p in _PREFIXES:
-        if p.search(text):
-            return p.sub("", text)
-    return text
+    hit = next((p for p in _PREFIXES if p.search(text)), None)
+    return (hit.sub("", text) if hit else text).strip(" ,.;:")
+
+
+_EITHER = re.compile(r"(?i)\s+AND/OR\s+")
 
 
 def alternatives(term: str) -> list[str]:
     """A AND/OR B OIL stands for A OIL and B OIL."""
-    parts = re.split(r"(?i)\s+AND/OR\s+", term)
-    if len(parts) > 1 and parts[-1].strip().upper().endswith("OIL"):
-        parts[-1] = re.sub(r"(?i)\s+OIL$", "", parts[-1])
-        parts = [f"{p.strip()} OIL" for p in parts]
-    return parts
+    if not _EITHER.search(term):
+        return [term]
+    shared = " OIL" if term.rstrip().upper().endswith("OIL") else ""
+    body = re.sub(r"(?i)\s+OIL\s*\Z", "", term) if shared else term
+    return [name.strip() + shared for name in _EITHER.split(body)]
 
 
 Row = tuple[str, str, str | None, str, str]
@@ -155,18 +156,53 @@ def flattened(text: str) -> list[str]:
     for a, b in groups:
         items = outside_commas(vocabulary_form(cleaned[a + 1 : b]), ANY)
         word = vocabulary_form(items[0]) if len(items) == 1 else ""
-        if len(items) == 1 and (word in REMARKS or word.startswith(("vitamin ", "source of "))):
+        if len(items) == 1 and remark(word):
             continue
         for item in items:
             out += flattened(item)
     return [x for x in dict.fromkeys(out) if x]
 
 
+def lists(function):
+    """A column function that gives function(text), a list of strings, of every text (nulls count as empty)."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def column(text: pa.Array) -> pa.Array:
+        return pa.array([function(x or "") for x in text.to_pylist()], pa.list_(pa.string()))
+
+    return column
+
+
+def remark(word: str) -> bool:
+    """Whether a bracketed item explains an ingredient and is none itself."""
+    return word in REMARKS or word.startswith(("vitamin ", "source of "))
+
+
+split_round = lists(lambda x: outside_commas(x, ROUND))
+split_any = lists(lambda x: outside_commas(x, ANY))
+either = lists(alternatives)
+groups = lists(lambda x: [x[a : b + 1] for a, b in outer_groups(x)])
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def vocabulary_terms(text: pa.Array) -> pa.Array:
     return pa.array([[w for t in outside_commas(vocabulary_form(x or ""), ANY) for w in flattened(t)] for x in text.to_pylist()], pa.list_(pa.string()))
 
 
+flat_terms = lists(flattened)
+
+
+def parsed_term(term: Column) -> Column:
+    """All rows of one term with its brackets, in reading order."""
+    return _term_rows(term)
+
+
+@F.arrow_udf(ROWS)
+def _term_rows(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in FIELDS]))
+    return pa.array([[dict(zip(FIELDS, r, strict=True)) for r in tree_rows(t or "", t or "")] for t in text.to_pylist()], kind)
+
+
 def build_vocabulary(corpus: DataFrame, text: Column) -> DataFrame:
     """(raw_term, frequency); counts are pre-aggregated before the shuffle."""
     terms = corpus.select(F.explode(vocabulary_terms(text)).alias("raw_term")).filter(tx.looks_like_ingredient(F.col("raw_term")))

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as tx
-from ..functions.similarity import token_sort_similarity, weighted_similarity
 from ..operators import evidence as ev
 from ..operators import normalize as nz
 from ..operators import parse
+from ..sources.files import stored
 from .labels import CTE, label_lines, labels, part_terms, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 L = f"WITH {CTE}"
 INDEX = f"idx(surface, concept, allergen) AS ({dims.sql_values(dims.exact_index_rows())})"
-NINE = f"syn(allergen, pos, synonym) AS ({dims.sql_values([(a, i, s) for a, t in dims.NINE.items() for i, s in enumerate(dims.forms(t))])})"
-BASE = f"rule(allergen, keyword) AS ({dims.sql_values([(a, s) for a, t in dims.BASELINE.items() for s in dims.forms(t)])})"
+NINE = f"syn(allergen, pos, synonym) AS ({dims.sql_values([(a, i, s) for a, t in dims.NINE.items() for i, s in enumerate(t)])})"
+BASE = f"rule(allergen, keyword) AS ({dims.sql_values([(a, s) for a, t in dims.BASELINE.items() for s in t])})"
 
 
 def query(sql: str | None = None):
@@ -39,18 +39,6 @@ def o02_inspect_corpus(spark, sf):
     return labels(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query(f"{L}, v AS (SELECT lower(term) AS raw_term, count(*) AS frequency FROM terms GROUP BY 1) SELECT raw_term, frequency FROM v WHERE raw_term IS NOT NULL AND frequency > 1")
-def o03_vocabulary_terms(spark, sf):
-    return label_lines(spark, sf).groupBy(F.lower("term").alias("raw_term")).agg(F.count("*").alias("frequency")).filter("raw_term is not null and frequency > 1")
-
-
-@query("SELECT o_orderkey AS label_id, 'MILK' AS allergen, ['whey', 'milk'] AS found FROM orders WHERE o_orderstatus = 'F'")
-def o11_evidence_map_parse(spark, sf):
-    x = read(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("{'MILK': ['whey', 'milk']}").alias("value"))
-    m = F.coalesce(F.from_json("value", "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
-    return x.select(F.col("o_orderkey").alias("label_id"), F.explode(m).alias("allergen", "found"))
-
-
 TILES = "h, h * 2 // 5 AS tile, h * 2 // 5 - h // 10 AS step"
 
 
@@ -130,11 +118,6 @@ def o25_clean_term(spark, sf):
     return part_terms(spark, sf).select("p_partkey", tx.clean_term(F.concat(F.lit("- "), F.col("term"), F.lit(";"))).alias("cleaned"))
 
 
-@query(f"{L} SELECT p_partkey, i AS stripped FROM parts")
-def o26_packaging_prefix(spark, sf):
-    return part_terms(spark, sf).select("p_partkey", tx.strip_prefix(F.concat(F.lit("BEST BY 5 % "), F.col("i"))).alias("stripped"))
-
-
 EXPECTED = """
 rows_(label_id, raw_text, cleaned_text, parent, level) AS (
   SELECT o_orderkey, term, CASE a WHEN 'large' THEN i WHEN 'new' THEN 'BLEND' WHEN 'old' THEN 'MIX' ELSE term END, NULL, 'top_level' FROM terms
@@ -183,12 +166,6 @@ def o41_exact_index(spark, sf):
     return dims.exact_index(spark).groupBy(F.coalesce("allergen", F.lit("NONE")).alias("allergen")).agg(F.count("*").alias("surfaces"), F.count_distinct("concept").alias("concepts"))
 
 
-@query(f"{L}, {INDEX} SELECT concept, allergen, count(*) AS n FROM terms JOIN idx ON surface = lower(i) WHERE a IN ('blue', 'large') GROUP BY ALL")
-def o42_curated_exact(spark, sf):
-    x = label_lines(spark, sf).filter("a in ('blue', 'large')").select(tx.normal_form(tx.clean_term(F.col("term"))).alias("cleaned"))
-    return nz.curated(x, dims.exact_index(spark)).filter("concept is not null").groupBy("concept", "allergen").agg(F.count("*").alias("n"))
-
-
 @query(f"{L} SELECT p_partkey, regexp_replace(lower(term), '[^a-z0-9]', '', 'g') AS squeezed FROM parts")
 def o43_compact_key(spark, sf):
     return part_terms(spark, sf).select("p_partkey", tx.compact(F.col("term")).alias("squeezed"))
@@ -199,38 +176,16 @@ def vocabulary(spark) -> DataFrame:
     return spark.createDataFrame([(s, 1) for s, _, _ in dims.exact_index_rows()] + [("thiamin mononitrate", 2)], "raw_term string, frequency int")
 
 
-@query(f"{L}, {INDEX} SELECT DISTINCT lower(term) AS cleaned, surface AS candidate FROM parts JOIN idx ON replace(surface, ' ', '') = lower(term) WHERE a = 'cold' AND contains(i, ' ')")
-def o45_compact_exact(spark, sf):
-    x = part_terms(spark, sf).filter("a = 'cold' and contains(i, ' ')").select(F.lower("term").alias("cleaned")).distinct()
-    return nz.candidates(x, nz.vocabulary_index(vocabulary(spark))).filter("match_method = 'compact_exact'").select("cleaned", "candidate")
-
-
-@query()
-def o47_weighted_similarity(spark, sf):
-    x = part_terms(spark, sf).select(F.lower("term").alias("a"), F.lower("i").alias("b")).distinct()
-    return x.select("a", "b", weighted_similarity(F.col("a"), F.col("b")).alias("similarity"))
-
-
-@query()
-def o48_blocked_top_candidates(spark, sf):
-    x = part_terms(spark, sf).select(F.lower("term").alias("cleaned")).distinct()
-    return nz.candidates(x, nz.vocabulary_index(vocabulary(spark))).select("cleaned", "candidate", "similarity", "rank")
-
-
-@query(f"{L}, {INDEX} SELECT DISTINCT lower(term) AS cleaned, CASE WHEN contains(i, ' ') THEN 1 ELSE 1 END AS s, lower(i) AS segment FROM parts WHERE a = 'red'")
-def o51_segmentation(spark, sf):
-    x = part_terms(spark, sf).filter("a = 'red'").select(F.lower("term").alias("cleaned")).distinct()
-    return nz.segments(x, dims.exact_index(spark)).select("cleaned", F.col("start").alias("s"), "segment")
-
-
-def normalized(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = parse.extract(labels(spark, sf), F.col("text"), "label_id").withColumnRenamed("cleaned_text", "raw_term")
-    return rows, nz.normalize(rows, dims.exact_index(spark), vocabulary(spark))
+def normalized(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, their parsed rows, and the decision on every distinct term: each made once and stored, as several branches read it."""
+    lab = stored(labels(spark, sf), "labels")
+    rows = stored(parse.extract(lab, F.col("text"), "label_id").withColumnRenamed("cleaned_text", "raw_term"), "rows")
+    return lab, rows, stored(nz.normalize(rows, dims.exact_index(spark), vocabulary(spark)), "normalized")
 
 
 @query()
 def o52_normalize(spark, sf):
-    _, n = normalized(spark, sf)
+    n = normalized(spark, sf)[2]
     return n.select("raw_term", "normalized_term", "canonical_concept", "match_type", "confidence", "status", "allergen")
 
 
@@ -242,17 +197,19 @@ def o55_contains_statement(spark, sf):
     return ev.contains_evidence(labels(spark, sf), dims.exact_index(spark)).select("label_id", "allergen", "ingredient")
 
 
-def all_evidence(spark, sf):
+def all_evidence(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, their rows with the decisions, and all evidence."""
     index = dims.exact_index(spark)
-    rows, n = normalized(spark, sf)
+    lab, rows, n = normalized(spark, sf)
     rows = rows.join(n, "raw_term")
-    return rows, ev.collected(ev.contains_evidence(labels(spark, sf), index), ev.ingredient_evidence(rows, index))
+    return lab, rows, stored(ev.collected(ev.contains_evidence(lab, index), ev.ingredient_evidence(rows, index)), "evidence")
 
 
-def assessed(spark, sf):
-    rows, e = all_evidence(spark, sf)
-    status = labels(spark, sf).select("label_id").join(rows.groupBy("label_id").agg(F.max(F.col("status") == "known").alias("any_known")), "label_id", "left").withColumn("any_known", F.coalesce("any_known", F.lit(False)))
-    return ev.fused(status, e)
+def assessed(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, all evidence, and the assessment of every label and fused allergen."""
+    lab, rows, e = all_evidence(spark, sf)
+    status = lab.select("label_id").join(rows.groupBy("label_id").agg(F.max(F.col("status") == "known").alias("any_known")), "label_id", "left").withColumn("any_known", F.coalesce("any_known", F.lit(False)))
+    return lab, e, stored(ev.fused(status, e), "assessed")
 
 
 #: What the rows say: bases that stay recognizable, be it with one letter missing, against those that only part of a term shows.
@@ -264,18 +221,18 @@ STRONG = f"""{INDEX}, strong AS (
 
 @query(f"{L}, {CONTAINS}, {STRONG} SELECT label_id, allergen FROM strong")
 def o58_detected(spark, sf):
-    return assessed(spark, sf).filter("status = 'DETECTED'").select("label_id", "allergen")
+    return assessed(spark, sf)[2].filter("status = 'DETECTED'").select("label_id", "allergen")
 
 
 @query()
 def o57_collect_evidence(spark, sf):
-    _, e = all_evidence(spark, sf)
+    e = all_evidence(spark, sf)[2]
     return e.groupBy("allergen", "evidence_type", "strength").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query()
 def o59_assess_allergens(spark, sf):
-    return assessed(spark, sf).groupBy("allergen", "status").agg(F.count("*").alias("n"))
+    return assessed(spark, sf)[2].groupBy("allergen", "status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey AS user_id, allergen FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN ['MILK'] WHEN 1 THEN ['SOY', 'WHEAT'] WHEN 2 THEN ['WHEAT', 'MILK', 'EGG'] ELSE []::VARCHAR[] END) AS allergen FROM customer)")
@@ -294,56 +251,32 @@ def o61_conflicting_assessments(spark, sf):
     return ev.selected(p.select("*", v).filter(F.col("pos") <= F.col("label_id") % 3)).select("label_id", "status", "conflict")
 
 
-def risks(spark, sf):
-    pairs = labels(spark, sf).select("label_id", "user_id").join(o60_profiles(spark, sf), "user_id")
-    return ev.personal_risk(pairs, assessed(spark, sf))
+def risks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Products (user_id, label_id) and the risk of every allergen of a user's profile, with its evidence."""
+    lab, e, a = assessed(spark, sf)
+    products = lab.select("user_id", "label_id")
+    return products, ev.personal_risk(products.join(o60_profiles(spark, sf), "user_id"), a, e)
 
 
 @query()
 def o62_personal_risk(spark, sf):
-    return risks(spark, sf).groupBy("allergen", "status", "risk_level").agg(F.count("*").alias("n"))
+    x = risks(spark, sf)[1]
+    return x.select("user_id", "label_id", "allergen", "status", "risk_level", "reason", F.round("confidence", 6).alias("confidence"), "ingredients", "evidence_types", "sources", "unresolved")
 
 
 @query(f"""{L}, {CONTAINS}, {STRONG}, prof AS ({ORACLES["o60_profiles"]}),
 m AS (SELECT l.user_id, l.label_id, count(*) AS k FROM labels l JOIN prof p ON p.user_id = l.user_id JOIN strong s ON s.label_id = l.label_id AND s.allergen = p.allergen GROUP BY ALL)
 SELECT user_id, label_id FROM m""")
 def o63_high_risk_products(spark, sf):
-    return ev.product_risk(risks(spark, sf)).filter("overall_risk = 'HIGH'").select("user_id", "label_id")
+    products, x = risks(spark, sf)
+    return ev.product_risk(x, products).filter("overall_risk = 'HIGH'").select("user_id", "label_id")
 
 
-@query(f"{L}, {NINE}, hit AS (SELECT label_id, allergen, min(pos) AS pos FROM labels JOIN syn ON contains(upper(listing), synonym) GROUP BY ALL) SELECT label_id, hit.allergen, synonym FROM hit JOIN syn USING (allergen, pos)")
-def o65_substring_synonyms(spark, sf):
-    """The first synonym of each allergen that the text contains; the table of synonyms is fixed and small, so it is broadcast."""
-    s = F.broadcast(dims.synonyms(spark))
-    hits = labels(spark, sf).join(s, F.upper("listing").contains(F.col("synonym")))
-    return hits.groupBy("label_id", "allergen").agg(F.min(F.struct("pos", "synonym")).alias("m")).select("label_id", "allergen", F.col("m.synonym").alias("synonym"))
-
-
-@query()
-def o64_token_sort_similarity(spark, sf):
-    x = part_terms(spark, sf).select("term", "i").distinct()
-    return x.select("term", "i", token_sort_similarity(F.col("term"), F.col("i")).alias("similarity"))
-
-
-@query(f"""{L}, {NINE}, hit AS (SELECT DISTINCT label_id, allergen FROM labels JOIN syn ON contains(upper(listing), synonym)),
-g AS (SELECT label_id, kind, allergen FROM labels, (SELECT DISTINCT allergen FROM syn))
-SELECT allergen, CASE WHEN hit.label_id IS NOT NULL OR kind = 'F' AND g.allergen IN ('MILK', 'SOY') THEN 'DETECTED' ELSE 'NOT_DETECTED' END AS status, count(*) AS n FROM g LEFT JOIN hit USING (label_id, allergen) GROUP BY ALL""")
-def o66_nine_allergen_status(spark, sf):
-    """Explicit and exact evidence for all nine allergens; every label meets a fixed list of nine, by explode."""
-    x = labels(spark, sf).select("label_id", "text", F.explode(F.array(*[F.lit(a) for a in dims.NINE])).alias("allergen"))
-    hits = o65_substring_synonyms(spark, sf).withColumnRenamed("synonym", "found")
-    stated = F.upper(tx.contains_statement(F.col("text"))).contains(F.col("allergen"))
-    x = x.join(hits, ["label_id", "allergen"], "left")
-    return x.groupBy("allergen", F.when(F.col("found").isNotNull() | stated, "DETECTED").otherwise("NOT_DETECTED").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query(f"""{L}, {NINE}, f AS (SELECT DISTINCT label_id, allergen, array_to_string(list_transform(string_split(lower(synonym), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS s FROM labels JOIN syn ON contains(upper(listing), synonym))
-SELECT label_id, allergen, array_to_string(list(s ORDER BY s)[1:4], ', ') AS detail FROM f GROUP BY label_id, allergen""")
-def o67_message_detail(spark, sf):
-    s = F.broadcast(dims.synonyms(spark))
-    hits = labels(spark, sf).join(s, F.upper("listing").contains(F.col("synonym")))
-    g = hits.groupBy("label_id", "allergen").agg(F.sort_array(F.collect_set(F.initcap("synonym"))).alias("s"))
-    return g.select("label_id", "allergen", F.array_join(F.slice("s", 1, 4), ", ").alias("detail"))
+@query(f"{L} SELECT user_id, label_id, 'NO_MATCH' AS overall_risk, []::VARCHAR[] AS matched, '{ev.WARNINGS['NO_MATCH']}' AS warning FROM labels WHERE user_id % 4 = 3")
+def o63_empty_profiles(spark, sf):
+    """Products whose user has no profile, or nothing of it assessed."""
+    products, x = risks(spark, sf)
+    return ev.product_risk(x, products).filter("overall_risk = 'NO_MATCH'").select("user_id", "label_id", "overall_risk", "matched", "warning")
 
 
 @query(f"{L} SELECT label_id, CASE WHEN kind = 'F' THEN listing || '' ELSE regexp_replace(substring(text, 14), '[ :.-]+$', '') END AS section FROM labels")
@@ -398,17 +331,6 @@ def o76_wide_status(spark, sf):
     return x.select("label_id", *[F.col(a).alias(f"{a}_status") for a in dims.BASELINE])
 
 
-@query("SELECT o_orderkey AS label_id, string_split('WHEAT,MILK', ',') AS allergens FROM orders WHERE o_orderstatus = 'O'")
-def o77_parse_allergens(spark, sf):
-    x = read(spark, sf, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("label_id"), F.lit(" WHEAT, ,MILK,").alias("v"))
-    return x.select("label_id", F.filter(F.transform(F.split("v", ","), lambda s: F.btrim(s)), lambda s: s != "").alias("allergens"))
-
-
-@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'P' THEN 'UNCERTAIN' ELSE 'EXCLUDED' END AS annotation, count(*) AS n FROM orders GROUP BY 1")
-def o78_annotation_status(spark, sf):
-    return read(spark, sf, "orders").groupBy(ev.mapped(F.col("o_orderstatus"), {"F": "VERIFIED", "P": "UNCERTAIN"}, "EXCLUDED").alias("annotation")).agg(F.count("*").alias("n"))
-
-
 def truth(spark, sf):
     """(label_id, allergen): base allergens of a label's parts."""
     x = label_lines(spark, sf).select(F.col("o_orderkey").alias("label_id"), F.lower("i").alias("surface"))
@@ -456,37 +378,9 @@ def o84_macro_average(spark, sf):
 
 @query()
 def o85_normalization_coverage(spark, sf):
-    rows, n = normalized(spark, sf)
+    _, rows, n = normalized(spark, sf)
     g = rows.join(n, "raw_term").groupBy("status", "match_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
     return g.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 4))
 
 
-def observed(spark, sf, odd: int):
-    x = read(spark, sf, "lineitem").filter(F.col("l_suppkey") % 20 == odd).join(part_terms(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
-    return x.select(F.btrim(F.lower(F.regexp_replace("term", ",", ""))).alias("observation")).distinct()
-
-
-OBSERVED = "obs AS (SELECT DISTINCT l_suppkey % 20 AS s, trim(lower(replace(term, ',', ''))) AS observation FROM lineitem JOIN parts ON l_partkey = p_partkey)"
-
-
-@query(f"{L}, {OBSERVED} SELECT observation FROM obs WHERE s = 1 INTERSECT SELECT observation FROM obs WHERE s = 2")
-def o90_intersect_sources(spark, sf):
-    return observed(spark, sf, 1).intersect(observed(spark, sf, 2))
-
-
-@query(f"{L}, {OBSERVED} SELECT 'first' AS side, observation FROM (SELECT observation FROM obs WHERE s = 1 EXCEPT SELECT observation FROM obs WHERE s = 2) UNION ALL SELECT 'second', observation FROM (SELECT observation FROM obs WHERE s = 2 EXCEPT SELECT observation FROM obs WHERE s = 1)")
-def o91_except_both_ways(spark, sf):
-    a, b = observed(spark, sf, 1), observed(spark, sf, 2)
-    return a.subtract(b).select(F.lit("first").alias("side"), "observation").unionByName(b.subtract(a).select(F.lit("second").alias("side"), "observation"))
-
-
-@query(f"{L}, {OBSERVED} SELECT CASE s WHEN 1 THEN 'odd' ELSE 'even' END AS source, observation FROM obs WHERE s IN (1, 2)")
-def o92_union_sources(spark, sf):
-    return observed(spark, sf, 1).select(F.lit("odd").alias("source"), "observation").unionByName(observed(spark, sf, 2).select(F.lit("even").alias("source"), "observation"))
-
-
-@query("SELECT p_partkey, p_partkey % 3 <> 0 AS accepted FROM part")
-def o96_input_validation(spark, sf):
-    name = F.concat(F.col("p_brand"), F.element_at(F.array(F.lit(".gif"), F.lit(".JPG"), F.lit(".webp")), (F.col("p_partkey") % 3 + 1).cast("int")))
-    ok = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(".jpg", ".jpeg", ".png", ".webp", ".bmp")
-    return read(spark, sf, "part").select("p_partkey", ok.alias("accepted"))
+from . import more  # noqa: E402, F401  (registers the other queries)
