@@ -1,12 +1,17 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks of text.  Each block has its word count and
-link density, those of its neighbours, and what its containers say; a decision
-tree, trained on the small labelled table below, tells content from the rest.
+link density, those of the block before and after it, and what its containers
+say; a decision tree, trained on the small table of labelled pages below, tells
+content from the rest.  Names of classes are taken token by token; a token that
+says what a container has or lacks (has-sidebar) says nothing of the container
+itself, and one that stands beside a name for content (post related-news) is
+only a hint, which the tree weighs against words and links.
 Scripts, styles, markup and form controls never become blocks.
 
 Defined cases: null and empty pages, and pages without text, give an empty
-text; unclosed and stray tags are tolerated; pages of any length are read
+text; unclosed and stray tags, and tags with a quote that never ends, are
+tolerated; pages of any length are read
 whole; repeated rows give equal rows; extra columns are ignored.
 """
 
@@ -15,7 +20,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +34,20 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CHROME_TAGS = set("nav footer aside form header dialog menu".split())
 MAIN_TAGS = {"article", "main"}
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Names of what surrounds an article, as a token of a class or id or as a part of one.
 CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|comments?|discussion|replies|respond|disqus|cookies?|consent|notices?|alerts?|"
-    r"pop-?up|modal|overlay|share|sharing|social|related|recommend\w*|footer|foot|header|masthead|subscribe|newsletter|signup|login|search|widget|pagination|pager|toolbar|tags|copyright|legal|skip)(?=$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|comments?|discussion|replies|respond|disqus|cookies?|consent|notices?|alerts?|"
+    r"pop-?up|modal|overlay|share|sharing|social|related|recommend\w*|footer|foot|header|masthead|subscribe|newsletter|signup|login|search|widget|pagination|pager|toolbar|tags|copyright|legal|skip)(?=$|[_-])",
     re.I,
 )
-CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text|article-body|post-content|entry-content)(?=$|[\s_-])", re.I)
+#: Tokens that tell what a container has, not what it is.
+HAS = re.compile(r"(?:has|have|with|without|no|is|not|hide|show)[_-]", re.I)
+CONTENT_WORDS = re.compile(r"(?:^|[_-])(?:article|post|entry|story|content|main|body-?text)(?=$|[_-])", re.I)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/)?(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+NEXT_BR = re.compile(r"\s*<br\b", re.I)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -50,12 +59,11 @@ class Block:
     chrome: bool
     main: bool
     heading: bool
-    hint: bool = False
-    raw: list = field(default_factory=list, repr=False)
+    hint: bool
 
 
 def _kind(tag: str, attrs: str, in_main: bool) -> str:
-    """'chrome', 'main' or '' for an opening tag."""
+    """'chrome', 'hint', 'main' or '' for an opening tag."""
     if tag in ("html", "body"):
         return ""
     a = {k.lower(): x or y or z or "" for k, x, y, z in ATTR.findall(attrs)} if attrs.strip() else {}
@@ -65,12 +73,13 @@ def _kind(tag: str, attrs: str, in_main: bool) -> str:
         return "chrome"
     if tag in CHROME_TAGS and not (tag == "header" and in_main):
         return "chrome"
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    if CHROME_WORDS.search(names) and tag not in MAIN_TAGS:
-        return "chrome"
     if tag in MAIN_TAGS or a.get("role", "").lower() in ("main", "article"):
         return "main"
-    return "main" if CONTENT_WORDS.search(names) else ""
+    names = [x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not HAS.match(x)]
+    content = any(CONTENT_WORDS.search(x) for x in names)
+    if any(CHROME_WORDS.search(x) for x in names):
+        return "hint" if content else "chrome"
+    return "main" if content else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -78,7 +87,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     links: list[str] = []
-    in_link = chrome = main = heading = 0
+    in_link = heading = 0
+    inside = {"chrome": 0, "hint": 0, "main": 0, "": 0}
 
     def flush() -> None:
         if parts:
@@ -86,16 +96,15 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(html.unescape(" ".join(links)).split())
                 n = len(text.split())
-                out.append(Block(text, n, min(linked, n), chrome > 0, main > 0, heading > 0))
+                out.append(Block(text, n, min(linked, n), inside["chrome"] > 0, inside["main"] > 0, heading > 0, inside["hint"] > 0))
             parts.clear()
             links.clear()
 
     def pop(upto: int) -> None:
-        nonlocal chrome, main, heading
+        nonlocal heading
         while len(stack) > upto:
             tag, kind = stack.pop()
-            chrome -= kind == "chrome"
-            main -= kind == "main"
+            inside[kind] -= 1
             heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     at = 0
@@ -105,38 +114,37 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links.append(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag, close, attrs = (m["tag"] or m["tag2"] or "").lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if not tag:
             if m["silent"] and m["silent"].lower() in ("title", "iframe", "object", "video", "audio"):
                 flush()
             continue
         if tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = 0 if close else 1
         if tag == "br":
             parts.append(" ")
-            if re.match(r"\s*<br\b", page[at : at + 40], re.I):
+            if NEXT_BR.match(page, at):
                 flush()
             continue
         if tag not in INLINE:
             flush()
             in_link = 0
-        if m["close"]:
+        if close:
             at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at_open >= 0:
                 if stack[at_open][1]:
                     flush()
                 pop(at_open)
-        elif tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 pop(len(stack) - 1)
-            if tag in INLINE and not (kind := _kind(tag, m["attrs"], main > 0)):
+            kind = _kind(tag, attrs, inside["main"] > 0)
+            if tag in INLINE and not kind:
                 continue
-            kind = _kind(tag, m["attrs"], main > 0)
             if kind:
                 flush()
             stack.append((tag, kind))
-            chrome += kind == "chrome"
-            main += kind == "main"
+            inside[kind] += 1
             heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):
         rest = re.sub(r"<[A-Za-z/!?][^>]*\Z", "", page[at:])
@@ -145,35 +153,69 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+#: Columns of the features.
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in chrome", "in main", "heading", "hint", "page has main")
+
+
 def features(bs: list[Block], whole_main: bool) -> np.ndarray:
     """words and link density of the block and of its neighbours, then what the containers say."""
     w = np.array([b.words for b in bs], float)
     d = np.array([b.linked / b.words for b in bs])
     pad = lambda x, v: np.concatenate([[v], x, [v]])
     pw, pd = pad(w, 0), pad(d, 0)
-    flags = [[b.chrome, b.main, b.heading, whole_main] for b in bs]
+    flags = [[b.chrome, b.main, b.heading, b.hint, whole_main] for b in bs]
     return np.column_stack([w, d, pw[:-2], pd[:-2], pw[2:], pd[2:], np.array(flags, float)])
 
 
-#: The labelled table: words, link density, the same of the previous and of the
-#: next block, in chrome, in main, heading, page has main; then 1 for content.
+#: The labelled table: pages as blocks in order, each "words link-density flags" with a trailing + for content.
+#: Flags: c in chrome, m in main, h heading, n hint of a name.
 LABELLED = (
-    # pages with a main element: what is inside and no chrome is content, of any length
-    (12, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1, 1, 1), (60, 0.0, 12, 0.0, 1, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 45, 0.0, 0, 1, 0, 1, 1),
-    (4, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 1, 1), (30, 0.2, 25, 0.0, 70, 0.0, 0, 1, 0, 1, 1), (3, 1.0, 40, 0.0, 30, 0.1, 0, 1, 0, 1, 1),
-    (90, 0.05, 2, 0.0, 14, 0.0, 0, 1, 0, 1, 1), (2, 0.0, 7, 0.0, 22, 0.0, 0, 1, 1, 1, 1), (8, 0.0, 0, 0.0, 33, 0.0, 0, 1, 1, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0), (9, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 1, 0),
-    (11, 0.1, 40, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (35, 0.0, 50, 0.0, 20, 0.0, 1, 1, 0, 1, 0), (14, 0.0, 22, 0.0, 3, 0.0, 1, 1, 0, 1, 0),
-    (6, 0.5, 30, 0.0, 7, 0.3, 1, 1, 0, 1, 0), (3, 0.0, 28, 0.0, 35, 0.0, 1, 0, 1, 1, 0), (40, 0.0, 3, 0.0, 0, 0.0, 1, 0, 0, 1, 0),
-    (7, 0.0, 0, 0.0, 12, 0.0, 0, 0, 0, 1, 0), (20, 0.0, 60, 0.0, 4, 0.0, 0, 0, 0, 1, 0), (55, 0.0, 30, 0.0, 8, 0.5, 0, 0, 0, 1, 0), (3, 1.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1, 0),
-    # pages without one: long texts, headings beside them and short texts between them are content
-    (8, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0, 1), (50, 0.0, 8, 0.0, 44, 0.1, 0, 0, 0, 0, 1), (25, 0.0, 60, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 48, 0.0, 0, 0, 1, 0, 1), (18, 0.2, 30, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (70, 0.3, 5, 0.0, 12, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.9, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (10, 0.8, 50, 0.0, 6, 1.0, 0, 0, 0, 0, 0),
-    (25, 0.9, 3, 0.5, 20, 0.8, 0, 0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (30, 0.0, 25, 0.0, 25, 0.0, 1, 0, 0, 0, 0), (3, 1.0, 1, 1.0, 5, 0.5, 1, 0, 0, 0, 0),
+    # articles in a main element between menus, adverts and footers
+    "1 1 c|1 1 c|2 1 c|14 0 c|9 0 mh+|62 0 m+|41 .05 m+|88 0 m+|16 0 c",
+    "3 1 c|2 1 c|12 0 mh+|1 0 m+|55 0 m+|7 0 m+|70 .1 m+|22 0 mc|35 0 mc|9 0 c",
+    "1 1 c|8 0 mh+|3 0 m+|2 0 m+|4 0 m+|5 0 c",
+    "2 1 c|35 0 c|6 0 mh+|120 0 m+|1 0 m+|18 0 m+|1 0 m+|11 .2 c",
+    "1 0 m+|4 0 c", "250 0 m+|30 0 c", "5 0 mh+|2 0 m+|3 0 m+|6 .3 c",
+    # link lists, bylines and buttons inside the main element that nothing names; one link between paragraphs is content
+    "9 0 mh+|64 0 m+|51 0 m+|3 1 m|4 1 m|5 1 m|2 1 m|6 0 c",
+    "4 1 m|3 1 m|6 1 m|11 0 mh+|45 0 m+|80 .1 m+|10 0 c", "7 0 mh+|58 0 m+|6 1 m+|49 0 m+|8 0 c", "40 0 m+|5 1 m+|30 .1 m+|66 0 m+|4 1 m+|90 0 m+",
+    "10 0 mh+|75 0 m+|44 0 m+|9 .9 m|8 .9 m|12 .95 m|10 0 c", "6 0 mh+|33 0 m+|2 1 m|3 1 m|1 1 m|2 0 c",
+    # a line that announces a list of links, and one that closes it
+    "10 0 mh+|60 0 m+|45 0 m+|3 0 m|14 1 m|16 1 m|12 1 m|8 0 c", "70 0 m+|52 0 m+|4 0 m|30 1 m|28 1 m|6 0 c", "9 0 mh+|66 0 m+|58 0 m+|32 1 m|31 1 m|4 0 m|7 0 c", "8 0 mh+|59 0 m+|5 0 m|40 .9 m|6 0 m|9 0 c",
+    "4 0 -|22 1 -|35 1 -|8 0 h+|60 0 -+|48 0 -+", "9 0 h+|60 0 -+|50 0 -+|40 1 -|12 0 -|9 1 -", "50 0 -+|44 0 -+|12 0 -|45 1 -|38 1 -|11 0 -|3 1 -", "9 0 h+|70 0 -+|9 0 -+|64 0 -+|10 0 -|36 1 -",
+    # text beside a main element
+    "7 0 -|20 0 -|12 0 mh+|60 0 m+|4 0 -|55 0 -|3 1 -|8 .5 -", "3 1 -|10 0 mh+|70 0 m+|30 0 -|20 0 -|2 1 -",
+    # names that hint at chrome on a container that also names content
+    "2 1 c|11 0 mnh+|60 0 mn+|58 0 mn+|9 0 c", "2 1 c|10 0 nh+|64 0 n+|47 .1 n+|12 0 c", "50 0 mn+|44 0 mn+|61 0 mn+", "8 0 mh+|70 0 m+|5 1 mn|4 1 mn|6 1 mn|5 0 c", "9 0 mnh+|3 0 mn+|66 0 m+|40 0 m+", "9 0 nh|5 1 n|4 1 n|6 1 n|60 0 m+|8 0 mh+",
+    # pages without any container: long texts, and what stands between them, against links and notices
+    "1 1 -|2 1 -|3 1 -|8 0 h+|52 0 -+|44 .1 -+|6 0 -+|61 0 -+|2 1 -|4 .9 -|6 0 -",
+    "2 1 -|1 1 -|5 0 -|2 1 -|9 0 h+|33 0 -+|70 .3 -+|25 .2 -+|28 0 -+|25 .9 -|20 .8 -|5 0 -", "6 0 h+|40 0 -+|35 0 -+|5 0 h+|48 0 -+", "4 0 -|2 0 -|3 0 -|5 .4 -", "10 .8 -|9 1 -|12 .9 -|7 0 -|3 1 -", "90 0 -+", "30 0 -+|28 .1 -+",
+    "5 0 -|60 0 -+|18 0 -+|48 0 -+|6 1 -|7 1 -", "3 1 -|30 0 c|25 0 c|8 0 h+|66 0 -+|50 0 -+|30 0 c|3 1 c",
+    # chrome of any length is none
+    "60 0 c|45 0 c|80 0 c|9 0 mh+|50 0 m+", "40 0 mc|70 0 mc|35 0 mc|20 .2 mc", "25 0 c|25 0 c|30 0 c", "3 0 ch|28 0 c|35 0 c|6 .5 c", "8 0 mc|1 1 mc|30 0 m+", "5 0 ch|60 0 -+|44 0 -+",
 )
 
 
+def labelled_rows(rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the table; with rng, of a variant of it.
+
+    A variant changes counts by up to a fifth, and freely those of paragraphs
+    inside a main element, which are content whatever their length.
+    """
+    x, y = [], []
+    for page in LABELLED:
+        bs, wanted = [], []
+        for block in page.split("|"):
+            words, density, flags = block.rstrip("+").split()
+            free = block.endswith("+") and "m" in flags and "n" not in flags
+            n = max(1, round(int(words) * (1 if rng is None else rng.uniform(0.1, 2.5) if free else rng.uniform(0.8, 1.2))))
+            bs.append(Block("", n, round(float(density) * n), "c" in flags, "m" in flags, "h" in flags, "n" in flags))
+            wanted.append(block.endswith("+"))
+        x.append(features(bs, any(b.main and not b.chrome for b in bs)))
+        y += wanted
+    return np.concatenate(x), np.array(y, float)
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     """A binary tree by Gini gain: (feature, cut, left, right) or a probability."""
     if depth == 0 or y.min() == y.max():
@@ -193,21 +235,21 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
     return best[1], float(best[2]), grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
 
 
-#: Variants made of each labelled row, so that no cut leans on a chance value of the small table.
-VARIANTS = 40
+#: Variants made of the table, so that no cut leans on a chance value of it.
+VARIANTS = 12
 
 
 @functools.cache
 def tree() -> tuple:
-    """Trained once: rows of pages with a main element keep their containers and take any counts and neighbours; others vary by a fifth."""
+    """Trained once, on the table and its variants."""
     rng = np.random.default_rng(3)
-    t = np.repeat(np.array(LABELLED, float), VARIANTS, 0)
-    whole = t[:, 9] == 1
-    for columns in ((0, 1), (2, 3), (4, 5)):
-        pool = t[whole][:, columns]
-        t[np.ix_(np.flatnonzero(whole), columns)] = pool[rng.permutation(len(pool))]
-        t[np.ix_(np.flatnonzero(~whole), columns[:1])] *= rng.uniform(0.8, 1.2, ((~whole).sum(), 1))
-    return grow(t[:, :-1], t[:, -1], 8)
+    parts = [labelled_rows(), *[labelled_rows(rng) for _ in range(VARIANTS)]]
+    return grow(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]), 14)
+
+
+def splits(node: tuple) -> set[str]:
+    """The features that a tree uses."""
+    return {FEATURES[node[0]]} | splits(node[2]) | splits(node[3]) if len(node) == 4 else set()
 
 
 def classify(node: tuple, x: np.ndarray) -> bool:
