@@ -36,16 +36,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _named[-1]
 
 
-def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """make(), stored; the folders that it wrote on the way are deleted, and the JVM is told that its shuffles can go."""
-    before = len(_named)
-    out = stored(make(), name)
-    for path in _named[before:-1]:
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more, and let the JVM drop the shuffles of what is done."""
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _named[before:-1]
+        if path in _named:
+            _named.remove(path)
     gc.collect()
     spark._jvm.System.gc()
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), stored; the folders that it wrote on the way are deleted."""
+    before = len(_named)
+    out = stored(make(), name)
+    release(spark, *_named[before:-1])
     return out
 
 

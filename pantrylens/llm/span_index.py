@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, Words, chunks, gathered, range_hashes, signed
-from .shared import new_path, stored
+from .shared import new_path, release, stored
 
 WINDOW, GRAM = 50, 8
 #: Batches of a whole corpus, and runs files that are merged into one.
@@ -168,12 +168,16 @@ class FingerprintIndex:
         shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("new").alias("any_new")).filter("lo < hi and any_new").select("anchor")
         runs = runs.join(shared, "anchor")
         key = ["anchor", "f1", "f2"]
-        firsts = stored(runs.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("new").alias("fresh")), "firsts")
+        distinct = runs.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("new").alias("fresh"))
+        path = new_path(self.spark, "firsts")
+        distinct.write.parquet(path)
+        firsts = self.spark.read.schema(distinct.schema).parquet(path)
         # distinct runs under an anchor that several of them share, one of them new
         several = firsts.groupBy("anchor").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).filter("c > 1 and fresh").select("anchor", F.lit(True).alias("open"))
         firsts = firsts.select(*key, "lo").join(several, "anchor", "left")
         placed = runs.join(firsts, key).filter("new and doc_id > lo or open and doc_id = lo")
         placed = stored(placed.select("doc_id", "tk", "start", "n", (F.col("doc_id") > F.col("lo")).alias("equal")), "placed")
+        release(self.spark, path)
         self.files.append(new)
         if len(self.files) >= self.fan_out:
             self.compact()
@@ -182,13 +186,20 @@ class FingerprintIndex:
     def compact(self) -> None:
         """One sorted file in place of all: the first document of each distinct run."""
         merged = self._read(self.files).groupBy("anchor", "f1", "f2").agg(F.min(F.struct("doc_id", "tk", "start", "n")).alias("s")).select("anchor", "f1", "f2", "s.*")
-        self.files = [self._write(merged)]
+        old, self.files = self.files, [self._write(merged)]
+        release(self.spark, *old)
+
+    def drop(self) -> None:
+        """Delete the index's files."""
+        release(self.spark, *self.files)
+        self.files = []
 
 
 def repeated_windows(texts: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows (doc_id, tk, start, n = 1) of the runs that also start in a run of a document with a smaller id; texts is read once."""
     per_doc = runs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     windows = stored(opened(texts.join(per_doc, ["doc_id", "tk"]).select("doc_id", "tk", "text", "runs"), window), "windows")
+    release(texts.sparkSession)
     first_of = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
     return windows.join(first_of, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", "tk", F.col("pos").alias("start"), F.lit(1).alias("n"))
 
@@ -204,6 +215,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> Data
     for a, b in zip(cuts, cuts[1:], strict=False):
         equal, several = index.add(known.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
         found, to_open = found.unionByName(equal), to_open.unionByName(several)
+    index.drop()  # what add has found is stored
     found = found.unionByName(repeated_windows(known, to_open, window))
     per_doc = found.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return cut_out(base.join(per_doc, ["doc_id", "tk"], "left").select("doc_id", "text", "runs"), window)
