@@ -56,7 +56,7 @@ class Windows:
         self.valid = left >= window
         # every word with one space behind it
         sizes = words.ends - words.starts + 1
-        text = gathered(np.append(words.buf, np.uint8(32)), words.starts, sizes) if len(sizes) else words.buf[:0]
+        text = gathered(np.append(words.buf, np.uint8(32)), words.starts, sizes) if len(sizes) else np.zeros(0, np.uint8)
         self.upto = np.concatenate([[0], np.cumsum(sizes)])
         text[self.upto[1:] - 1] = 32
         self.text = memoryview(text.tobytes())
