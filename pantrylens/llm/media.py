@@ -1,7 +1,8 @@
 """Texts as media: payloads stored in lossless WebP images, read back, and described.
 
 Defined cases: null and empty texts are one row of 192 spaces; texts of any
-length are cut into tiles of at most 64 x 64 pixels; equal texts give equal
+length are cut into tiles of at most 64 x 64 pixels, each an image with a
+predictor and a cross-colour transform, or a palette; equal texts give equal
 values; repeated rows give equal rows; extra columns are ignored.
 """
 

@@ -5,8 +5,9 @@ back-references, colour cache, and the predictor, cross-colour, subtract-green
 and palette transforms.  Images of a batch that use one group of prefix codes
 are decoded side by side, one symbol of every image per step; streams with
 several groups go through a plain decoder.  The encoder writes prefix-coded
-images with back-references and a colour cache, and a palette where an image
-has at most 16 colours; the other transforms are options.
+images with back-references and a colour cache, a palette where an image has at
+most 16 colours, and elsewhere the transforms asked for; `fitted` chooses the
+predictor and the colour multipliers of every block.
 """
 
 from __future__ import annotations
@@ -179,32 +180,12 @@ def read_pixels(b: Bits, width: int, height: int, cache_bits: int, groups: list,
 
 def read_sub_image(b: Bits, width: int, height: int) -> np.ndarray:
     cache_bits = b.read(4) if b.read(1) else 0
-    return read_pixels(b, width, height, cache_bits, [read_group(b, cache_bits)], None, 0)
-
-
-@functools.cache
-def _fixed_groups() -> list:
-    """The fixed codes, as the ordinary reader reads them; streams that open with the same bits share them."""
-    head, size, _, _ = text_codes()
-    b = Bits(head.to_bytes((size + 7) // 8 + 8, "little"), 7)
-    return [read_group(b, TEXT_CACHE)]
-
-
-@functools.cache
-def _fixed_head() -> tuple[bytes, int, int, int]:
-    head, size, _, _ = text_codes()
-    whole, rest = size // 8, size % 8
-    return (head & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"), head >> 8 * whole, (1 << rest) - 1, size
-
-
-def _is_fixed(b: Bits) -> bool:
-    """Whether the fixed codes follow; if so, they are passed over."""
-    head, last, mask, size = _fixed_head()
-    at = b.pos >> 3
-    if b.pos & 7 or not b.data.startswith(head, at) or (b.data[at + len(head)] if at + len(head) < len(b.data) else 0) & mask != last:
-        return False
-    b.pos += size
-    return True
+    group = read_group(b, cache_bits)
+    only = [np.flatnonzero(x) for x in group[:4]]
+    if all(len(x) == 1 for x in only) and only[0][0] < 256:  # one colour: no symbol takes a bit
+        green, red, blue, alpha = (int(x[0]) for x in only)
+        return np.full((height, width), alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
+    return read_pixels(b, width, height, cache_bits, [group], None, 0)
 
 
 class Image:
@@ -220,9 +201,6 @@ class Image:
             raise ValueError("unknown version")
         self.transforms, self.inner = [], self.width
         self.meta, self.meta_bits = None, 0
-        if _is_fixed(b):
-            self.cache_bits, self.groups = TEXT_CACHE, _fixed_groups()
-            return
         while b.read(1):
             kind = b.read(2)
             if kind in (PREDICTOR, CROSS):
@@ -309,6 +287,45 @@ def undo_predictor(argb: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray
     return _joined(x)
 
 
+def undo_predictors(parts: list[np.ndarray], bits: int, modes: list[np.ndarray]) -> list[np.ndarray]:
+    """undo_predictor for images of one width, a row of all images per step; modes 0 to 4 only."""
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    heights = np.array([len(parts[i]) for i in order])
+    start = np.cumsum(heights) - heights
+    x = np.concatenate([parts[i] for i in order])
+    w = x.shape[1]
+    kinds = np.concatenate([(modes[i] >> 8) & 15 for i in order])
+    blocks = np.array([len(modes[i]) for i in order])
+    first = np.cumsum(blocks) - blocks
+    add = lambda a, b: _joined(_split(a) + _split(b))
+    head = _split(x[start])
+    head[:, 0, 3] += 255
+    x[start] = _joined(np.cumsum(head, axis=1, dtype=np.uint8))
+    column = np.arange(w)
+    for r in range(1, int(heights[0])):
+        n = int((heights > r).sum())
+        at = start[:n] + r
+        up, row = x[at - 1], x[at]
+        kind = np.repeat(kinds[first[:n] + (r >> bits)], 1 << bits, 1)[:, :w]
+        row[:, 0] = add(row[:, 0], up[:, 0])
+        right = np.concatenate([up[:, 1:], row[:, :1]], 1)
+        corner = np.concatenate([up[:, :1], up[:, :-1]], 1)
+        guess = np.select([kind == 0, kind == 2, kind == 3, kind == 4], [np.uint32(0xFF000000), up, right, corner], np.uint32(0))
+        guess[:, 0] = 0
+        row = add(row, guess)
+        left = kind == 1
+        left[:, 0] = False
+        if left.any():  # from the pixel before a stretch of mode 1, residuals add up
+            anchor = np.maximum.accumulate(np.where(left, 0, column), 1)
+            steps = np.cumsum(np.where(left[..., None], _split(row), np.uint8(0)), axis=1, dtype=np.uint8)
+            row = _joined(np.take_along_axis(_split(row) - steps, anchor[..., None], 1) + steps)
+        x[at] = row
+    out: list = [None] * len(parts)
+    for i, a, h in zip(order, start.tolist(), heights.tolist(), strict=True):
+        out[i] = x[a : a + h]
+    return out
+
+
 def _cross(argb: np.ndarray, bits: int, elements: np.ndarray, sign: int) -> np.ndarray:
     h, w = argb.shape
     e = _split(np.repeat(np.repeat(elements, 1 << bits, 0), 1 << bits, 1)[:h, :w]).astype(np.int8).astype(np.int32)
@@ -322,13 +339,27 @@ def _cross(argb: np.ndarray, bits: int, elements: np.ndarray, sign: int) -> np.n
     return _joined(np.stack([new_blue & 255, green, new_red & 255, x[..., 3]], -1).astype(np.uint8))
 
 
-def undo(image: Image, argb: np.ndarray) -> np.ndarray:
-    """Invert the transforms, last first; pixels of the whole image as (height, width, 4) RGBA bytes."""
-    for kind, bits, width, data in reversed(image.transforms):
+def undo_many(images: list[Image], argb: list[np.ndarray]) -> list[np.ndarray]:
+    """undo for many images; those whose last transform to invert is a predictor of modes 0 to 4 share its steps."""
+    argb, together, rest = list(argb), {}, [image.transforms for image in images]
+    for i, image in enumerate(images):
+        if image.transforms and image.transforms[0][0] == PREDICTOR and not ((image.transforms[0][3] >> 8) & 15 > 4).any():
+            argb[i] = _inverted(image.transforms[1:], argb[i])
+            rest[i] = []
+            together.setdefault((image.width, image.transforms[0][1]), []).append(i)
+    for (_, bits), part in together.items():
+        for i, x in zip(part, undo_predictors([argb[i] for i in part], bits, [images[i].transforms[0][3] for i in part]), strict=True):
+            argb[i] = x
+    return [_split(_inverted(t, x))[..., [2, 1, 0, 3]] for t, x in zip(rest, argb, strict=True)]
+
+
+def _inverted(transforms: list[tuple], argb: np.ndarray) -> np.ndarray:
+    """Pixels with the transforms inverted, last first."""
+    for kind, bits, width, data in reversed(transforms):
         if kind == PREDICTOR:
             argb = undo_predictor(argb, bits, data)
         elif kind == CROSS:
-            argb = _cross(argb, bits, data, 1)
+            argb = _cross(argb, bits, data, 1) if (data & 0xFFFFFF).any() else argb
         elif kind == GREEN:
             x = _split(argb).copy()
             x[..., 0] += x[..., 1]
@@ -343,7 +374,7 @@ def undo(image: Image, argb: np.ndarray) -> np.ndarray:
             table = np.zeros(256, np.uint32)
             table[: len(data)] = data
             argb = table[index]
-    return _split(argb)[..., [2, 1, 0, 3]]
+    return argb
 
 
 def lockstep(images: list[Image]) -> list[np.ndarray]:
@@ -437,7 +468,7 @@ def lockstep(images: list[Image]) -> list[np.ndarray]:
     return [out[b : b + s].reshape(i.height, i.inner) for b, s, i in zip(base, size, images, strict=True)]
 
 
-def decode_many(files: list[bytes], lanes: int = 4096, pixels: int = 1 << 23) -> list[np.ndarray]:
+def decode_many(files: list[bytes], lanes: int = 2048, pixels: int = 1 << 23) -> list[np.ndarray]:
     """RGBA pixel arrays of many files; a batch is bounded in images and in pixels."""
     images = [Image(f) for f in files]
     out: list = [None] * len(files)
@@ -449,12 +480,13 @@ def decode_many(files: list[bytes], lanes: int = 4096, pixels: int = 1 << 23) ->
             total += images[alike[z]].inner * images[alike[z]].height
             z += 1
         part = alike[a:z]
-        for i, argb in zip(part, lockstep([images[i] for i in part]), strict=True):
-            out[i] = undo(images[i], argb)
+        alike_now = [images[i] for i in part]
+        for i, pixels_of in zip(part, undo_many(alike_now, lockstep(alike_now)), strict=True):
+            out[i] = pixels_of
         a = z
     for i, x in enumerate(images):
         if out[i] is None:
-            out[i] = undo(x, read_pixels(x.bits, x.inner, x.height, x.cache_bits, x.groups, x.meta, x.meta_bits))
+            out[i] = undo_many([x], [read_pixels(x.bits, x.inner, x.height, x.cache_bits, x.groups, x.meta, x.meta_bits)])[0]
     return out
 
 
@@ -624,49 +656,20 @@ def _ready(lengths: list[np.ndarray]) -> tuple[list, list]:
     return [codewords(x) for x in lengths], [np.where((x > 0).sum() > 1, x, 0) for x in lengths]
 
 
-#: Colour cache bits of images with the fixed codes.
-TEXT_CACHE = 6
-
-
-@functools.cache
-def text_codes() -> tuple[int, int, list, list]:
-    """Fixed codes for the bytes of texts: the header bits that spell them out, and the codes themselves.
-
-    Fitting codes to every small image costs more time than it saves bytes.
-    """
-    byte = np.ones(256, np.int64)
-    byte[128:192] = 6
-    byte[65:91] = byte[48:58] = 4
-    byte[[0xC3, 44, 46, 10]] = 30, 20, 20, 4
-    for i, c in enumerate("etanhioresdlucgbmwfpvyzjkqx"):
-        byte[ord(c)] = max(6, 220 * 85**i // 100**i)
-    byte[32] = 300
-    green = np.concatenate([byte, np.full(24, 2), np.full(1 << TEXT_CACHE, 4)])
-    alpha = np.zeros(256, np.int64)
-    alpha[255] = 1
-    lengths = [code_lengths(x) for x in (green, byte, byte, alpha, np.ones(40, np.int64))]
-    w = Writer()
-    w.put(0, 1)  # no transform
-    w.put(1, 1)
-    w.put(TEXT_CACHE, 4)
-    w.put(0, 1)
-    for x in lengths:
-        write_code(w, x)
-    return (w.bits, w.size, *_ready(lengths))
-
-
-def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool, fixed: bool = False) -> None:
-    """Colour cache, the single group of codes (fitted to the image, or the fixed ones), and all symbols of an image."""
+def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool) -> None:
+    """Colour cache, the single group of codes (fitted to the image), and all symbols of an image."""
     px = argb.ravel().astype(np.uint32)
     n = len(px)
-    if fixed:
-        cache_bits = TEXT_CACHE
-    else:
-        w.put(int(cache_bits > 0), 1)
-        if cache_bits:
-            w.put(cache_bits, 4)
-        if main:
-            w.put(0, 1)
+    if not main and (px == px[0]).all():
+        w.put(0, 1)
+        for x in (*_split(px[:1])[0, [1, 2, 0, 3]].tolist(), 0):
+            w.put(0b101 | x << 3, 11)
+        return
+    w.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if main:
+        w.put(0, 1)
     refs = copies(px)
     alive = np.ones(n, bool)
     kind = np.zeros(n, np.int8)
@@ -691,15 +694,11 @@ def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool, fixed
         lc, le, lv = _prefix_code(r[:, 1])
         dc, de, dv = _prefix_code(r[:, 2] + 120)
         green[k == 2] = 256 + lc
-    if fixed:
-        head, length, words, bits = text_codes()
-        w.put(head, length)
-    else:
-        counts = [np.bincount(green, minlength=size), *(np.bincount(c[lit, ch], minlength=256) for ch in (2, 0, 3)), np.bincount(dc, minlength=40) if refs else np.zeros(40, np.int64)]
-        lengths = [code_lengths(x) for x in counts]
-        for x in lengths:
-            write_code(w, x)
-        words, bits = _ready(lengths)
+    counts = [np.bincount(green, minlength=size), *(np.bincount(c[lit, ch], minlength=256) for ch in (2, 0, 3)), np.bincount(dc, minlength=40) if refs else np.zeros(40, np.int64)]
+    lengths = [code_lengths(x) for x in counts]
+    for x in lengths:
+        write_code(w, x)
+    words, bits = _ready(lengths)
     value, used = words[0][green], bits[0][green].copy()
     at = np.flatnonzero(k == 0)
     for j, channel in ((1, 2), (2, 0), (3, 3)):
@@ -714,11 +713,44 @@ def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool, fixed
     w.many(value, used)
 
 
-def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = None, palette: bool = True, bits: int = 3, mode: int = 11, fixed: bool = False) -> bytes:
+def _cheapest(options: np.ndarray, bits: int) -> np.ndarray:
+    """For every block of (options, height, width, channels), the option whose bytes are shortest at the byte frequencies of that option; the first where equal."""
+    k, h, w, channels = options.shape
+    x = options + (np.arange(k, dtype=np.int32) << 8).reshape(k, 1, 1, 1)
+    n = np.bincount(x.ravel(), minlength=256 * k)
+    bit = np.log2(h * w * channels / np.maximum(n, 1)).astype(np.float32)
+    cost = np.add.reduceat(bit[x].sum(3), np.arange(0, h, 1 << bits), 1)
+    return np.argmin(np.add.reduceat(cost, np.arange(0, w, 1 << bits), 2), 0)
+
+
+#: Predictors and colour multipliers (green to red, green to blue, red to blue) that `fitted` chooses from; 32 is one.
+MODES = (0, 1, 2, 3, 4)
+MULTIPLIERS = ((0, 0, 0), (32, 32, 0), (32, 0, 32))
+
+
+def _blocks(choice: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
+    return np.repeat(np.repeat(choice, 1 << bits, 0), 1 << bits, 1)[:h, :w]
+
+
+def fitted(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predictor modes and colour multipliers by block, as their images, and the pixels that are left after both."""
+    h, w = argb.shape
+    options = np.stack([_residual(argb, mode) for mode in MODES])
+    choice = _cheapest(_split(options)[..., :3], bits)
+    modes = np.uint32(0xFF000000) | np.array(MODES, np.uint32)[choice] << np.uint32(8)
+    left = np.choose(_blocks(choice, bits, h, w), options) if choice.any() else options[0]
+    elements = np.array([0xFF000000 | rb << 16 | gb << 8 | gr for gr, gb, rb in MULTIPLIERS], np.uint32)
+    options = np.stack([left, *(_cross(left, bits, np.full(choice.shape, e), -1) for e in elements[1:])])
+    choice = _cheapest(_split(options)[..., [0, 2]], bits)
+    return modes, elements[choice], np.choose(_blocks(choice, bits, h, w), options) if choice.any() else left
+
+
+def encode(rgba: np.ndarray, transforms: tuple | None = (), cache_bits: int | None = None, palette: bool = True, bits: int = 3, mode: int = 11) -> bytes:
     """One lossless image from (height, width, 4) RGBA bytes.
 
-    `transforms` asks for PREDICTOR, CROSS and GREEN in that order; a palette
-    is used by itself where at most 16 colours occur and none is asked for.
+    `transforms` asks for PREDICTOR, CROSS and GREEN in that order; None asks
+    for PREDICTOR and CROSS as `fitted` chooses them.  A palette is used instead
+    where at most 16 colours occur and no transform is asked for by name.
     """
     h, width = rgba.shape[:2]
     if not (0 < h <= MAX_SIDE and 0 < width <= MAX_SIDE):
@@ -731,7 +763,18 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = No
     w.put(int((rgba[..., 3] != 255).any()), 1)
     w.put(0, 3)
     side = lambda n: (n + (1 << bits) - 1) >> bits
-    for t in transforms:
+    few = palette and not transforms and len(np.unique(argb.ravel()[:64])) <= 16
+    colours = np.unique(argb) if few else None
+    if colours is not None and len(colours) > 16:
+        colours = None
+    if transforms is None and colours is None:
+        modes, elements, argb = fitted(argb, bits)
+        for t, sub in ((PREDICTOR, modes), (CROSS, elements)):
+            w.put(1, 1)
+            w.put(t, 2)
+            w.put(bits - 2, 3)
+            write_pixels(w, sub, 0, False)
+    for t in transforms or ():
         w.put(1, 1)
         w.put(t, 2)
         if t == GREEN:
@@ -749,9 +792,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = No
             sub = np.full((side(h), side(width)), 0xFF000000 | 5 << 16 | 7 << 8 | 250, np.uint32)
             write_pixels(w, sub, 0, False)
             argb = _cross(argb, bits, sub, -1)
-    few = palette and not transforms and len(np.unique(argb.ravel()[:64])) <= 16
-    colours = np.unique(argb) if few else None
-    if colours is not None and len(colours) <= 16:
+    if colours is not None:
         w.put(1, 1)
         w.put(PALETTE, 2)
         w.put(len(colours) - 1, 8)
@@ -763,12 +804,8 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = No
         index[:, :width] = np.searchsorted(colours, argb)
         bundled = (index.reshape(h, -1, each) << (np.arange(each, dtype=np.uint32) * per)).sum(2, dtype=np.uint32)
         argb = np.uint32(0xFF000000) | bundled << np.uint32(8)
-        fixed = False
-    if fixed:
-        write_pixels(w, argb, TEXT_CACHE, True, True)
-    else:
-        w.put(0, 1)
-        write_pixels(w, argb, (6 if argb.size >= 256 else 0) if cache_bits is None else cache_bits, True)
+    w.put(0, 1)
+    write_pixels(w, argb, (6 if argb.size >= 256 else 0) if cache_bits is None else cache_bits, True)
     data = w.bytes()
     body = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
@@ -790,6 +827,8 @@ def _residual(argb: np.ndarray, mode: int) -> np.ndarray:
 # --- payloads in images -----------------------------------------------------------
 
 COLUMNS = TILE = 64
+#: Blocks of 16 x 16 pixels have a predictor and colour multipliers of their own.
+BLOCK_BITS = 4
 ROW = 3 * COLUMNS
 
 
@@ -799,7 +838,7 @@ def to_media(payload: bytes) -> bytes:
     out = []
     for a in range(0, len(x), TILE):
         part = x[a : a + TILE]
-        out.append(encode(np.concatenate([part, np.full((*part.shape[:2], 1), 255, np.uint8)], 2), fixed=True))
+        out.append(encode(np.concatenate([part, np.full((*part.shape[:2], 1), 255, np.uint8)], 2), None, bits=BLOCK_BITS))
     return b"".join(out)
 
 

@@ -161,6 +161,38 @@ def test_webp_transforms():
                         assert (webp.decode_many([f])[0] == image).all()
 
 
+def test_webp_predictors_of_many_images():
+    rng = np.random.default_rng(6)
+    for width in (1, 2, 7, 64):
+        for bits in (2, 4):
+            heights = [1, 2, 5, 33, 33, 8]
+            parts = [rng.integers(0, 1 << 32, (h, width)).astype(np.uint32) for h in heights]
+            side = lambda n, bits=bits: (n + (1 << bits) - 1) >> bits
+            modes = [(rng.integers(0, 5, (side(h), side(width))) << 8).astype(np.uint32) for h in heights]
+            got = webp.undo_predictors(parts, bits, modes)
+            assert all((x == webp.undo_predictor(p, bits, m)).all() for x, p, m in zip(got, parts, modes, strict=True))
+
+
+def test_webp_fitted_transforms():
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[0:40, 0:50]
+    grey = rng.integers(0, 256, (40, 50))
+    drift = np.stack([grey, grey, grey, np.full_like(grey, 255)], -1)
+    slope = np.stack([3 * x, 3 * x + y // 16, 5 * x, np.full_like(x, 255)], -1)
+    used = []
+    for image in (drift, slope, rng.integers(0, 256, (40, 50, 4)), rng.integers(0, 256, (1, 1, 4)), rng.integers(0, 256, (9, 64, 4))):
+        image = image.astype(np.uint8)
+        f = webp.encode(image, None, palette=False, bits=4)
+        assert (webp.decode_many([f])[0] == image).all()
+        kinds = {t[0]: t[3] for t in webp.Image(f).transforms}
+        assert set(kinds) == {webp.PREDICTOR, webp.CROSS}
+        used.append((bool((kinds[webp.PREDICTOR] & 0xF00).any()), bool((kinds[webp.CROSS] & 0xFFFFFF).any())))
+    assert used[0][1] and used[1][0]
+    few = np.repeat(rng.integers(0, 256, (1, 2, 4)), 9, 0).astype(np.uint8)
+    f = webp.encode(few, None)
+    assert [t[0] for t in webp.Image(f).transforms] == [webp.PALETTE] and (webp.decode_many([f])[0] == few).all()
+
+
 def test_webp_rejects_broken_files():
     f = webp.encode(np.random.default_rng(1).integers(0, 256, (9, 9, 4)).astype(np.uint8))
     with pytest.raises(ValueError):
