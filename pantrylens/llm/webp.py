@@ -7,7 +7,7 @@ are decoded side by side, one symbol of every image per step; streams with
 several groups go through a plain decoder.  The encoder writes prefix-coded
 images with back-references and a colour cache, a palette where an image has at
 most 16 colours, and elsewhere the transforms asked for; `fitted` chooses the
-predictor and the colour multipliers of every block.
+predictor and the colour multipliers of every image.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import numpy as np
 
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 HASH = 0x1E35A7BD
-MAX_SIDE, MAX_CODE, MAX_COPY, MIN_COPY = 16384, 11, 4096, 4
+MAX_SIDE, MAX_COPY, MIN_COPY = 16384, 4096, 4
+#: Longest code that is written, in bits, where it has room for all symbols: short ones keep the tables of the decoder small.
+MAX_CODE = 9
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 
 
@@ -74,7 +76,7 @@ def tables(lengths: np.ndarray, need: int | None = None) -> tuple[np.ndarray, in
     kraft = np.where(lengths > 0, 1 << (m - lengths), 0).sum(1)
     if (~single & (kraft != 1 << m)).any():
         raise ValueError("a prefix code is over- or undersubscribed")
-    key = np.where(lengths > 0, lengths, 99)
+    key = np.where(lengths > 0, lengths, 99).astype(np.uint8)
     order = np.argsort(key, axis=1, kind="stable")
     sorted_len = np.take_along_axis(lengths, order, 1)
     reps = np.where(sorted_len > 0, 1 << (m - sorted_len), 0)
@@ -189,7 +191,7 @@ def read_sub_image(b: Bits, width: int, height: int) -> np.ndarray:
 
 
 class Image:
-    """A parsed header: everything up to the symbols of the main image."""
+    """A parsed header: everything up to the codes of the main image, or with several groups of codes, up to its symbols."""
 
     def __init__(self, data: bytes) -> None:
         if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
@@ -216,13 +218,12 @@ class Image:
                 self.transforms.append((kind, shift, self.inner, _joined(np.cumsum(_split(table), axis=0, dtype=np.uint8))))
                 self.inner = (self.inner + (1 << shift) - 1) >> shift
         self.cache_bits = b.read(4) if b.read(1) else 0
-        n = 1
         if b.read(1):
             self.meta_bits = b.read(3) + 2
             side = lambda n: (n + (1 << self.meta_bits) - 1) >> self.meta_bits
             self.meta = (read_sub_image(b, side(self.inner), side(self.height)) >> 8) & 0xFFFF
             n = int(self.meta.max()) + 1
-        self.groups = [read_group(b, self.cache_bits) for _ in range(n)]
+            self.groups = [read_group(b, self.cache_bits) for _ in range(n)]
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
@@ -326,8 +327,30 @@ def undo_predictors(parts: list[np.ndarray], bits: int, modes: list[np.ndarray])
     return out
 
 
+@functools.cache
+def _deltas(multiplier: int) -> np.ndarray:
+    """What a multiplier (a signed byte in 32nds) makes of every byte."""
+    signed = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int32)
+    return ((signed * int(np.uint8(multiplier).view(np.int8))) >> 5).astype(np.uint8)
+
+
+def _cross_by(argb: np.ndarray, element: int, sign: int) -> np.ndarray:
+    """_cross with the same multipliers everywhere."""
+    by = lambda shift, channel: _deltas(element >> shift & 255)[channel] * np.uint8(sign & 255)
+    x = _split(argb).copy()
+    if element & 0xFF:
+        x[..., 2] += by(0, x[..., 1])
+    if element & 0xFF00:
+        x[..., 0] += by(8, x[..., 1])
+    if element & 0xFF0000:
+        x[..., 0] += by(16, x[..., 2] if sign > 0 else _split(argb)[..., 2])
+    return _joined(x)
+
+
 def _cross(argb: np.ndarray, bits: int, elements: np.ndarray, sign: int) -> np.ndarray:
     h, w = argb.shape
+    if (elements == elements[0, 0]).all():
+        return _cross_by(argb, int(elements[0, 0]), sign)
     e = _split(np.repeat(np.repeat(elements, 1 << bits, 0), 1 << bits, 1)[:h, :w]).astype(np.int8).astype(np.int32)
     x = _split(argb).astype(np.int32)
     s8 = lambda v: v.astype(np.uint8).astype(np.int8).astype(np.int32)
@@ -377,34 +400,94 @@ def _inverted(transforms: list[tuple], argb: np.ndarray) -> np.ndarray:
     return argb
 
 
-def lockstep(images: list[Image]) -> list[np.ndarray]:
-    """Symbols of many images with one group of codes each, side by side."""
-    n = len(images)
-    size = np.array([i.inner * i.height for i in images])
-    base = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint32)
+def streams(images: list[Image]) -> tuple[np.ndarray, np.ndarray]:
+    """The streams of many images as words of 32 bits, and the byte at which each begins."""
     at = np.cumsum([0] + [(len(i.bits.data) + 19) // 4 * 4 for i in images])
     raw = np.zeros(int(at[-1]) // 4 + 2, "<u4")
     view = raw.view(np.uint8)
     for i, k in zip(images, at, strict=False):
         view[k : k + len(i.bits.data)] = np.frombuffer(i.bits.data, np.uint8)
-    raw = raw.astype(np.uint64)
-    codes = []
-    groups = list({id(i.groups[0]): i.groups[0] for i in images}.values())
-    which = {id(g): r for r, g in enumerate(groups)}
-    row = np.array([which[id(i.groups[0])] for i in images])
+    return raw.astype(np.uint64), at[:-1]
+
+
+#: Code lengths that a symbol of the code for code lengths stands for at least, and its extra bits.
+_RUN = np.array([1] * 16 + [3, 3, 11])
+_EXTRA = np.array([0] * 16 + [2, 3, 7])
+
+
+def read_groups(images: list[Image], raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The code lengths of the single group of many images, a row each in one array for every code; one symbol of every image per step."""
+    end = at * 8 + np.array([8 * len(i.bits.data) for i in images])
+    out = []
     for k in range(5):
-        most = max(len(g[k]) for g in groups)
-        rows = np.zeros((len(groups), most), np.int64)
-        for r, g in enumerate(groups):
-            rows[r, : len(g[k])] = g[k]
+        sizes = np.array([280 + (1 << i.cache_bits if i.cache_bits else 0) if k == 0 else 40 if k == 4 else 256 for i in images])
+        lengths = np.zeros((len(images), int(sizes.max())), np.int64)
+        lanes, row, left, known = [], [], [], {}
+        for i, image in enumerate(images):
+            b = image.bits
+            if b.peek() & 1:
+                code = read_code(b, int(sizes[i]))
+                lengths[i, : len(code)] = code
+                continue
+            n = 4 + (b.read(5) >> 1)
+            first = b.peek() & ((1 << 3 * n) - 1)
+            b.pos += 3 * n
+            lanes.append(i)
+            row.append(known.setdefault((n, first), len(known)))
+            left.append(2 + b.read(2 + 2 * b.read(3)) if b.read(1) else int(sizes[i]))
+        out.append(lengths)
+        if not lanes:
+            continue
+        table = np.zeros((len(known), 128), np.int64)
+        for r, (n, first) in enumerate(known):
+            lens = np.zeros(19, np.int64)
+            lens[list(CODE_LENGTH_ORDER[:n])] = [first >> 3 * j & 7 for j in range(n)]
+            entries = _first_table(lens.tobytes())[0]
+            table[r] = np.tile(entries, 128 // len(entries))
+        table = table.ravel()
+        lane, row, left = np.array(lanes), np.array(row) << 7, np.array(left)
+        pos, size, stop = at[lane] * 8 + np.array([images[i].bits.pos for i in lanes]), sizes[lane], end[lane]
+        column, before = np.zeros(len(lane), np.int64), np.full(len(lane), 8)
+        while len(lane):
+            bits = ((raw[pos >> 5] | raw[(pos >> 5) + 1] << np.uint64(32)) >> (pos & 31).astype(np.uint64)).astype(np.int64)
+            e = table[row + (bits & 127)]
+            symbol, used = e >> 4, e & 15
+            extra = _EXTRA[symbol]
+            run = _RUN[symbol] + ((bits >> used) & ((1 << extra) - 1))
+            pos, after, left = pos + used + extra, column + run, left - 1
+            if (after > size).any() or (pos > stop).any():
+                raise ValueError("code lengths end early, or there are too many")
+            one = np.flatnonzero(symbol < 16)
+            lengths[lane[one], column[one]] = symbol[one]
+            for i in np.flatnonzero(symbol == 16).tolist():
+                lengths[lane[i], column[i] : after[i]] = before[i]
+            before = np.where((symbol < 16) & (symbol > 0), symbol, before)
+            column = after
+            on = (column < size) & (left > 0)
+            if not on.all():
+                for i in np.flatnonzero(~on).tolist():
+                    images[lane[i]].bits.pos = int(pos[i] - 8 * at[lane[i]])
+                lane, row, left, pos, size, stop, column, before = (v[on] for v in (lane, row, left, pos, size, stop, column, before))
+    return out
+
+
+def lockstep(images: list[Image]) -> list[np.ndarray]:
+    """Codes and symbols of many images with one group of codes each, side by side."""
+    n = len(images)
+    size = np.array([i.inner * i.height for i in images])
+    base = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint32)
+    raw, at = streams(images)
+    codes = []
+    row = np.arange(n)
+    for rows in read_groups(images, raw, at):
         table, m = tables(rows)
         codes.append((table.ravel(), m, np.uint64((1 << m) - 1)))
     (tg, mg, kg), (tr, mr, kr), (tb, mb, kb), (ta, ma, ka), (td, md, kd) = codes
     roomy = mg + mr + mb + ma <= 33
     lane = np.arange(n)
-    pos = at[:-1] * 8 + np.array([i.bits.pos for i in images])
-    end = at[:-1] * 8 + np.array([8 * len(i.bits.data) for i in images])
+    pos = at * 8 + np.array([i.bits.pos for i in images])
+    end = at * 8 + np.array([8 * len(i.bits.data) for i in images])
     put, stop = base.copy(), base + size
     cbits = np.array([i.cache_bits for i in images])
     shift = (32 - cbits).astype(np.uint32)
@@ -535,10 +618,13 @@ def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
     if len(used) < 2:
         out[used] = 1
         return out
-    c = counts[used]
-    lengths = np.clip(np.ceil(np.log2(c.sum() / c)), 1, most).astype(int).tolist()
-    order = np.argsort(-c, kind="stable").tolist()
-    left = (1 << most) - sum(1 << (most - k) for k in lengths)
+    c, most = counts[used], max(most, len(used).bit_length())
+    lengths = np.clip(np.ceil(np.log2(c.sum() / c)), 1, most).astype(int)
+    left = (1 << most) - int((1 << (most - lengths)).sum())
+    if not left:
+        out[used] = lengths
+        return out
+    lengths, order = lengths.tolist(), np.argsort(-c, kind="stable").tolist()
     for i in reversed(order):  # only where the limit made codes too short
         while left < 0 and lengths[i] < most:
             left += 1 << (most - lengths[i] - 1)
@@ -571,42 +657,54 @@ def codewords(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-_FIRST_CODES = codewords(_FIRST).astype(int).tolist()
-_FIRST_LIST = _FIRST.tolist()
-
-
-def write_code(w: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        a = int(used[0]) if len(used) else 0
-        w.put(1, 1)
-        w.put(int(len(used) == 2), 1)
-        w.put(1, 1)
-        w.put(a, 8)
-        if len(used) == 2:
-            w.put(int(used[1]), 8)
-        return
-    w.put(0, 1)
-    w.put(15 - 4, 4)
-    for s in CODE_LENGTH_ORDER[:15]:
-        w.put(_FIRST_LIST[s], 3)
-    w.put(0, 1)
-    at = 0
-    zeros = np.diff(used, prepend=-1) - 1
-    for u, z, k in zip([*used.tolist(), len(lengths)], [*zeros.tolist(), len(lengths) - int(used[-1]) - 1], [*lengths[used].tolist(), -1], strict=True):
-        while z >= 3:
-            if z >= 11:
-                run = min(z, 138)
-                w.put(_FIRST_CODES[18] | (run - 11) << 4, 11)
-            else:
-                run = z
-                w.put(_FIRST_CODES[17] | (run - 3) << 4, 7)
-            z -= run
-        for _ in range(z):
-            w.put(_FIRST_CODES[0], 4)
-        if k > 0:
-            w.put(_FIRST_CODES[k], _FIRST_LIST[k])
-        at = u
+_FIRST_CODES = codewords(_FIRST)
+#: What a code with lengths of its own opens with: 15 lengths of the first code, and no early end.
+_OPENING = sum(int(_FIRST[x]) << (5 + 3 * i) for i, x in enumerate(CODE_LENGTH_ORDER[:15])) | 11 << 1
+_OPENING = np.array([_OPENING], np.uint64), np.array([51])
+_REST = np.arange(138)
+#: By the zeros left over: the run's value and size, and the sizes of up to two single zeros.
+_ZEROS = (
+    np.where(_REST >= 11, int(_FIRST_CODES[18]) | (_REST - 11) << 4, int(_FIRST_CODES[17]) | (_REST - 3 & 7) << 4).astype(np.uint64),
+    np.where(_REST >= 11, 11, np.where(_REST >= 3, 7, 0)),
+    np.where((_REST == 1) | (_REST == 2), 4, 0),
+    np.where(_REST == 2, 4, 0),
+)
+
+
+def code_bits(codes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every prefix code, the values that spell it out, and their sizes (0: left out)."""
+    out: list = []
+    long = []
+    for x in codes:
+        used = np.flatnonzero(x)
+        if len(used) > 2 or (len(used) and used[-1] >= 256):
+            long.append((len(out), used, len(x)))
+            out.append(None)
+            continue
+        a, two = int(used[0]) if len(used) else 0, len(used) == 2
+        out.append((np.array([5 | two << 1 | a << 3 | (int(used[1]) << 11 if two else 0)], np.uint64), np.array([19 if two else 11])))
+    if not long:
+        return out
+    # before every used symbol, and at the end of a code: whole runs of 138 zeros, a shorter run, up to two single zeros, the length itself
+    marks = np.concatenate([np.append(used, n) for _, used, n in long])
+    ends = np.cumsum([len(used) + 1 for _, used, _ in long])
+    gap = marks - np.concatenate([[-1], marks[:-1]]) - 1
+    gap[ends[:-1]] = marks[ends[:-1]]
+    k = np.concatenate([np.append(codes[i][used], 0) for i, used, _ in long])
+    whole, rest = gap // 138, gap % 138
+    most = int(whole.max())
+    value, size = np.zeros((len(gap), most + 4), np.uint64), np.zeros((len(gap), most + 4), np.int64)
+    if most:
+        value[:, :most], size[:, :most] = int(_FIRST_CODES[18]) | 127 << 4, np.where(np.arange(most) < whole[:, None], 11, 0)
+    value[:, most], size[:, most] = _ZEROS[0][rest], _ZEROS[1][rest]
+    value[:, most + 1 : most + 3] = _FIRST_CODES[0]
+    size[:, most + 1], size[:, most + 2] = _ZEROS[2][rest], _ZEROS[3][rest]
+    value[:, most + 3], size[:, most + 3] = _FIRST_CODES[k], np.where(k > 0, _FIRST[k], 0)
+    a = 0
+    for (i, _, _), z in zip(long, ends.tolist(), strict=True):
+        out[i] = np.concatenate([_OPENING[0], value[a:z].ravel()]), np.concatenate([_OPENING[1], size[a:z].ravel()])
+        a = z
+    return out
 
 
 def _prefix_code(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -625,11 +723,12 @@ def copies(px: np.ndarray) -> list[tuple[int, int, int]]:
     if n < 2:
         return []
     h = np.zeros(n, np.uint64)
-    for j in range(MIN_COPY):
-        h = (h ^ px[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
+    for j, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
+        h += px[j : j + n] * np.uint64(odd)
+    low = np.uint64(n.bit_length())
+    key = np.sort((h >> low) << low | np.arange(n, dtype=np.uint64))  # by hash, then place
+    order, h = (key & np.uint64((1 << int(low)) - 1)).astype(np.int64), key >> low
+    same = h[1:] == h[:-1]
     if not same.any():
         return []
     prev = np.full(n, -1)
@@ -680,7 +779,7 @@ def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool) -> No
     slot = np.zeros(n, np.int64)
     if cache_bits:
         slot = ((px * np.uint32(HASH)) >> np.uint32(32 - cache_bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         hit = np.zeros(n, bool)
         hit[order[1:]] = (slot[order][1:] == slot[order][:-1]) & (px[order][1:] == px[order][:-1])
         kind[hit & (kind == 0)] = 1
@@ -696,8 +795,7 @@ def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool) -> No
         green[k == 2] = 256 + lc
     counts = [np.bincount(green, minlength=size), *(np.bincount(c[lit, ch], minlength=256) for ch in (2, 0, 3)), np.bincount(dc, minlength=40) if refs else np.zeros(40, np.int64)]
     lengths = [code_lengths(x) for x in counts]
-    for x in lengths:
-        write_code(w, x)
+    spelled = code_bits(lengths)
     words, bits = _ready(lengths)
     value, used = words[0][green], bits[0][green].copy()
     at = np.flatnonzero(k == 0)
@@ -710,39 +808,33 @@ def write_pixels(w: Writer, argb: np.ndarray, cache_bits: int, main: bool) -> No
         for v, b in ((lv.astype(np.uint64), le), (words[4][dc], bits[4][dc]), (dv.astype(np.uint64), de)):
             value[at] |= v << used[at].astype(np.uint64)
             used[at] += b
-    w.many(value, used)
+    w.many(np.concatenate([*(v for v, _ in spelled), value]), np.concatenate([*(k for _, k in spelled), used]))
 
 
-def _cheapest(options: np.ndarray, bits: int) -> np.ndarray:
-    """For every block of (options, height, width, channels), the option whose bytes are shortest at the byte frequencies of that option; the first where equal."""
-    k, h, w, channels = options.shape
-    x = options + (np.arange(k, dtype=np.int32) << 8).reshape(k, 1, 1, 1)
-    n = np.bincount(x.ravel(), minlength=256 * k)
-    bit = np.log2(h * w * channels / np.maximum(n, 1)).astype(np.float32)
-    cost = np.add.reduceat(bit[x].sum(3), np.arange(0, h, 1 << bits), 1)
-    return np.argmin(np.add.reduceat(cost, np.arange(0, w, 1 << bits), 2), 0)
+def _cheapest(options: list[np.ndarray]) -> int:
+    """The option whose bytes have the least entropy; the first where equal."""
+    costs = []
+    for x in options:
+        n = np.bincount(x.ravel(), minlength=256)
+        n = n[n > 0]
+        costs.append(-(n * np.log2(n)).sum())
+    return int(np.argmin(costs))
 
 
 #: Predictors and colour multipliers (green to red, green to blue, red to blue) that `fitted` chooses from; 32 is one.
-MODES = (0, 1, 2, 3, 4)
-MULTIPLIERS = ((0, 0, 0), (32, 32, 0), (32, 0, 32))
-
+MODES = (0, 1, 2)
+MULTIPLIERS = ((0, 0, 0), (32, 32, 0))
 
-def _blocks(choice: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
-    return np.repeat(np.repeat(choice, 1 << bits, 0), 1 << bits, 1)[:h, :w]
 
-
-def fitted(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Predictor modes and colour multipliers by block, as their images, and the pixels that are left after both."""
-    h, w = argb.shape
-    options = np.stack([_residual(argb, mode) for mode in MODES])
-    choice = _cheapest(_split(options)[..., :3], bits)
-    modes = np.uint32(0xFF000000) | np.array(MODES, np.uint32)[choice] << np.uint32(8)
-    left = np.choose(_blocks(choice, bits, h, w), options) if choice.any() else options[0]
-    elements = np.array([0xFF000000 | rb << 16 | gb << 8 | gr for gr, gb, rb in MULTIPLIERS], np.uint32)
-    options = np.stack([left, *(_cross(left, bits, np.full(choice.shape, e), -1) for e in elements[1:])])
-    choice = _cheapest(_split(options)[..., [0, 2]], bits)
-    return modes, elements[choice], np.choose(_blocks(choice, bits, h, w), options) if choice.any() else left
+def fitted(argb: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """The pixels of the predictor's and the colour multipliers' images, chosen by the entropy of what is left, and the pixels that are left after both."""
+    options = [_residual(argb, mode) for mode in MODES]
+    i = _cheapest([_split(x)[..., :3] for x in options])
+    left = options[i]
+    elements = [0xFF000000 | rb << 16 | gb << 8 | gr for gr, gb, rb in MULTIPLIERS]
+    options = [left, *(_cross_by(left, e, -1) for e in elements[1:])]
+    j = _cheapest([_split(x)[..., [0, 2]] for x in options])
+    return 0xFF000000 | MODES[i] << 8, elements[j], options[j]
 
 
 def encode(rgba: np.ndarray, transforms: tuple | None = (), cache_bits: int | None = None, palette: bool = True, bits: int = 3, mode: int = 11) -> bytes:
@@ -768,12 +860,12 @@ def encode(rgba: np.ndarray, transforms: tuple | None = (), cache_bits: int | No
     if colours is not None and len(colours) > 16:
         colours = None
     if transforms is None and colours is None:
-        modes, elements, argb = fitted(argb, bits)
-        for t, sub in ((PREDICTOR, modes), (CROSS, elements)):
+        mode_pixel, element, argb = fitted(argb)
+        for t, pixel in ((PREDICTOR, mode_pixel), (CROSS, element)):
             w.put(1, 1)
             w.put(t, 2)
             w.put(bits - 2, 3)
-            write_pixels(w, sub, 0, False)
+            write_pixels(w, np.full((side(h), side(width)), pixel, np.uint32), 0, False)
     for t in transforms or ():
         w.put(1, 1)
         w.put(t, 2)
@@ -827,8 +919,8 @@ def _residual(argb: np.ndarray, mode: int) -> np.ndarray:
 # --- payloads in images -----------------------------------------------------------
 
 COLUMNS = TILE = 64
-#: Blocks of 16 x 16 pixels have a predictor and colour multipliers of their own.
-BLOCK_BITS = 4
+#: A tile is one block of both transforms.
+BLOCK_BITS = 6
 ROW = 3 * COLUMNS
 
 
