@@ -2,14 +2,11 @@
 
 The base kinds (email, ip, card, phone) are matched by pattern over the whole
 text, in time linear in it.  A BiLSTM-CRF, trained in numpy from labelled spans
-that a generator writes into pseudo-text, tags characters of overlapping
-windows and adds spans of further forms and of secrets; a character takes the
-tag of the window in which it lies deepest, so spans are reconciled over the
-whole text.  The tagger reads the windows around every place that CUE names (a
-digit, an assignment, a long run without spaces, a word that announces a
-secret) in texts of any length; prose without any of these holds none of the
-kinds that it is trained for.  What it tags is reported as it is, less outer
-punctuation, from SHORTEST characters on.
+that a generator writes into pseudo-text, tags every character of every text
+and adds spans of further forms and of secrets.  Long texts are read in
+overlapping windows; a character takes the tag of the window in which it lies
+deepest, so spans are reconciled over the whole text.  What it tags is reported
+as it is, less outer punctuation, from SHORTEST characters on.
 
 Defined cases: null and empty texts have no spans; texts of any length are
 read whole, in windows; added spans that touch a base span are dropped; offsets
@@ -37,8 +34,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Where the tagger reads.
-CUE = re.compile(r"[0-9]|=[^\s=]|[^\s]{20}|(?i:pass|pwd|secret|token|api.?key)")
 #: Code points of the shortest span that is added.
 SHORTEST = 6
 
@@ -84,7 +79,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Kinds that the model may add; tags are O, then B and I of each.
 ADDED = ("phone", "secret", "account")
 TAGS = 1 + 2 * len(ADDED)
-WINDOW, STRIDE, EMBED, HIDDEN, CHARS = 96, 48, 12, 20, 130
+WINDOW, EMBED, HIDDEN, CHARS = 96, 12, 20, 130
+#: Characters of a window that is read, and of two of them that overlap; windows that are read side by side.
+READ, LAP, ROWS = 768, 96, 256
 
 
 def codes(text: str) -> np.ndarray:
@@ -286,48 +283,153 @@ def trained(windows: int = 8000, epochs: int = 8, seed: int = 11) -> dict:
     return p
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    steps, rows, _ = e.shape
+def viterbi(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best tags (steps, rows) of windows, the longest first, from emissions (steps, TAGS, rows)."""
+    steps, _, rows = e.shape
+    active = np.searchsorted(-lengths, -np.arange(steps), "left")  # windows with more than t characters
     back = np.zeros(e.shape, np.int8)
     s = e[0].copy()
-    s[:, 2::2] -= 1e4
+    s[2::2] -= 1e4
     for t in range(1, steps):
-        x = s[:, :, None] + trans
-        back[t] = x.argmax(1)
-        s = x.max(1) + e[t]
-    out = np.zeros((rows, steps), np.int64)
-    out[:, -1] = s.argmax(1)
-    for t in range(steps - 1, 0, -1):
-        out[:, t - 1] = back[t][np.arange(rows), out[:, t]]
+        n = active[t]
+        x = s[:, None, :n] + trans[:, :, None]
+        back[t, :, :n] = x.argmax(0)
+        s[:, :n] = x.max(0) + e[t, :, :n]
+    out = np.zeros((steps, rows), np.int8)
+    last = s.argmax(0)
+    for t in range(steps - 1, -1, -1):
+        n, m = active[t], active[t + 1] if t + 1 < steps else 0
+        out[t, m:n] = last[m:n]
+        if m:
+            out[t, :m] = back[t + 1][out[t + 1, :m], np.arange(m)]
+    return out
+
+
+def read(x: np.ndarray, lengths: np.ndarray, p: dict) -> np.ndarray:
+    """Emissions (steps, TAGS, rows) of the codes (steps, rows) of windows, the longest first: those of emissions(), a step of all windows at once and nothing kept."""
+    steps, rows = x.shape
+    active = np.searchsorted(-lengths, -np.arange(steps), "left")
+    out = np.zeros((steps, TAGS, rows), np.float32)
+    half = np.concatenate([np.full(3 * HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)])[:, None]  # a sigmoid is a tanh of half its argument
+    for w, b, wo, times in ((p["wf"], p["bf"], p["wo"][:HIDDEN], range(steps)), (p["wb"], p["bb"], p["wo"][HIDDEN:], range(steps - 1, -1, -1))):
+        inner, table = np.ascontiguousarray(w[EMBED:].T * half), np.ascontiguousarray(p["embed"].T)
+        outer = np.ascontiguousarray(np.concatenate([w[:EMBED], b[None]]).T * half)
+        both, wo = np.concatenate([outer, inner], 1), np.ascontiguousarray(wo.T)
+        z, c = np.zeros((EMBED + 1 + HIDDEN, rows), np.float32), np.zeros((HIDDEN, rows), np.float32)
+        z[EMBED] = 1
+        g, tc = np.zeros((4 * HIDDEN, rows), np.float32), np.zeros((HIDDEN, rows), np.float32)
+        for t in times:
+            n = int(active[t])
+            if n < g.shape[1] and times.step > 0:  # windows that have ended
+                z, c, g, tc = (np.ascontiguousarray(v[:, :n]) for v in (z, c, g, tc))
+            elif times.step < 0 and n != g.shape[1]:  # windows that begin at their last character
+                grow = lambda v, n=n: np.concatenate([v, np.zeros((len(v), n - v.shape[1]), np.float32)], 1) if v.shape[1] < n else np.ascontiguousarray(v[:, :n])
+                z, c, g, tc = (grow(v) for v in (z, c, g, tc))
+                z[EMBED] = 1
+            z[:EMBED] = np.take(table, x[t, :n], axis=1)
+            np.matmul(both, z, out=g)
+            np.tanh(g, out=g)
+            gates, u, h = g[: 3 * HIDDEN], g[3 * HIDDEN :], z[EMBED + 1 :]
+            gates *= 0.5
+            gates += 0.5
+            u *= g[:HIDDEN]
+            c *= g[HIDDEN : 2 * HIDDEN]
+            c += u
+            np.tanh(c, out=tc)
+            np.multiply(g[2 * HIDDEN : 3 * HIDDEN], tc, out=h)
+            out[t, :, :n] += wo @ h
+    out += p["bo"][:, None]
+    return out
+
+
+def unsure(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Characters (steps, rows) that the best path may give a tag other than O.
+
+    A stretch of other tags is on the best path only if its emissions and
+    transitions, the best ones there are, outweigh those of O in its place; a
+    character in no such stretch is O.
+    """
+    t = trans - trans[0, 0]
+    within, enter, leave = float(t[1:, 1:].max()), float(t[0, 1::2].max()), float(t[1:, 0].max())
+    q = e[:, 1:].max(1) - e[:, 0] + within
+    last = np.arange(q.shape[1])
+    q[0] += max(0.0, -enter)  # a stretch at an end of the window has no such transition
+    q[lengths - 1, last] += max(0.0, -leave)
+    q[np.arange(len(e))[:, None] >= lengths] = -1e9
+    ahead, behind = q.copy(), q.copy()  # largest sums of stretches that end and begin here
+    for i in range(1, len(q)):
+        ahead[i] += np.maximum(ahead[i - 1], 0)
+        behind[-1 - i] += np.maximum(behind[-i], 0)
+    return ahead + behind - q + (enter + leave - within) > -0.01
+
+
+def tagged(windows: list[np.ndarray], p: dict) -> list[np.ndarray | None]:
+    """Tags of each window of codes, None if all are O: the best path, decoded in the stretches that are not sure to be O.
+
+    Of these, stretches too short for a span stay O, unless they touch the place
+    where the next window takes over.
+    """
+    trans = p["trans"] + allowed().astype(np.float32)
+    order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
+    out: list[np.ndarray | None] = [None] * len(windows)
+    todo: list[tuple[int, int, np.ndarray]] = []
+
+    def decode() -> None:
+        todo.sort(key=lambda x: -len(x[2]))
+        for a in range(0, len(todo), ROWS):
+            some = todo[a : a + ROWS]
+            lengths = np.array([len(x) for _, _, x in some])
+            e = np.zeros((lengths[0], TAGS, len(some)), np.float32)
+            for r, (_, _, x) in enumerate(some):
+                e[: len(x), :, r] = x
+            tags = viterbi(e, lengths, trans)
+            for r, (i, at, x) in enumerate(some):
+                if tags[: len(x), r].any():
+                    if out[i] is None:
+                        out[i] = np.zeros(len(windows[i]), np.int8)
+                    out[i][at : at + len(x)] |= tags[: len(x), r]
+        todo.clear()
+
+    for a in range(0, len(order), ROWS):
+        part = order[a : a + ROWS]
+        lengths = np.array([len(windows[i]) for i in part])
+        x = np.zeros((len(part), int(lengths[0])), np.uint8)
+        for r, i in enumerate(part):
+            x[r, : lengths[r]] = windows[i]
+        e = read(np.ascontiguousarray(x.T), lengths, p)
+        edges = np.diff(np.pad(unsure(e, lengths, trans).T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (rows, begins), ends = np.nonzero(edges > 0), np.nonzero(edges < 0)[1]
+        over = (begins <= LAP // 2) & (ends >= LAP // 2) | (begins <= READ - LAP // 2) & (ends >= READ - LAP // 2)
+        kept = over | (ends - begins >= SHORTEST)
+        for r, i, j in zip(rows[kept].tolist(), begins[kept].tolist(), ends[kept].tolist(), strict=True):
+            low, high = max(i - 1, 0), min(j + 1, int(lengths[r]))
+            piece = e[low:high, :, r].copy()
+            piece[: i - low, 1:] -= 1e4  # the neighbours are O
+            piece[j - low :, 1:] -= 1e4
+            todo.append((part[r], low, piece))
+        if len(todo) >= 4 * ROWS:
+            decode()
+    if todo:
+        decode()
     return out
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows, all STRIDE apart, that hold a cue, and of those beside them: a span may reach into them."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE)) if len(text) > WINDOW else 0
-    want: set[int] = set()
-    pos = 0
-    while m := CUE.search(text, pos):
-        i = m.start()
-        want.update(range(max(0, -(-(i - WINDOW + 1) // STRIDE)), min(last, i // STRIDE) + 1))
-        pos = max(i + 1, (i // STRIDE + 1) * STRIDE)
-    want |= {w + d for w in want for d in (-1, 1) if 0 <= w + d <= last}
-    return sorted(STRIDE * w for w in want)
+def window_starts(n: int) -> range:
+    """Starts of the windows that cover a text of n characters; the last one reaches further than LAP."""
+    return range(0, max(1, n - LAP), READ - LAP)
 
 
-def reconciled(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[str, int, int]]:
+def reconciled(text: str, starts: range, tags: list[np.ndarray | None]) -> list[tuple[str, int, int]]:
     """Spans of a text: each character's tag is that of the window in which it lies deepest."""
-    tag: dict[int, tuple[int, int]] = {}
-    for s, row in zip(starts, tags, strict=True):
-        n = min(WINDOW, len(text) - s)
-        left, right = (WINDOW if s == 0 else 0), (WINDOW if s + WINDOW >= len(text) else 0)  # a text's own ends are no cuts
-        for i in range(n):
-            depth = min(i + left, n - 1 - i + right)
-            if tag.get(s + i, (-1, 0))[0] < depth:
-                tag[s + i] = (depth, int(row[i]))
+    tag = np.zeros(len(text), np.int8)
+    for k, (s, row) in enumerate(zip(starts, tags, strict=True)):
+        if row is not None:
+            low = s + LAP // 2 if k else 0  # of the characters that two windows share, each has half
+            high = s + READ - LAP // 2 if k + 1 < len(starts) else len(text)
+            tag[low:high] = row[low - s : high - s]
     out: list[list] = []
-    for i in sorted(k for k, (_, t) in tag.items() if t):
-        kind, begin = ADDED[(tag[i][1] - 1) // 2], tag[i][1] % 2 == 1
+    for i in np.flatnonzero(tag).tolist():
+        kind, begin = ADDED[(int(tag[i]) - 1) // 2], tag[i] % 2 == 1
         if out and out[-1][2] == i and out[-1][0] == kind and not begin:
             out[-1][2] = i + 1
         else:
@@ -345,22 +447,16 @@ def reconciled(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[str
 
 def added_spans(texts: list[str], p: dict) -> list[list[tuple[str, int, int]]]:
     """What the tagger finds in each text; windows of all texts go through it together."""
-    jobs = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)]
+    jobs = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(len(t))]
+    tags = tagged([codes(texts[i][s : s + READ]).astype(np.uint8) for i, s in jobs], p)
     found: list[list] = [[] for _ in texts]
-    tags = np.zeros((len(jobs), WINDOW), np.int64)
-    for a in range(0, len(jobs), 512):
-        x = np.zeros((min(512, len(jobs) - a), WINDOW), np.int64)
-        for r, (i, s) in enumerate(jobs[a : a + 512]):
-            c = codes(texts[i][s : s + WINDOW])
-            x[r, : len(c)] = c
-        tags[a : a + len(x)] = viterbi(emissions(p, x)[0], p["trans"] + allowed().astype(np.float32))
     at = 0
-    while at < len(jobs):
-        end = at
-        while end < len(jobs) and jobs[end][0] == jobs[at][0]:
-            end += 1
-        found[jobs[at][0]] = reconciled(texts[jobs[at][0]], [s for _, s in jobs[at:end]], tags[at:end])
-        at = end
+    for i, t in enumerate(texts):
+        starts = window_starts(len(t)) if t else range(0)
+        own = tags[at : at + len(starts)]
+        at += len(starts)
+        if any(x is not None for x in own):
+            found[i] = reconciled(t, starts, own)
     return found
 
 
