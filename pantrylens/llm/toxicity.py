@@ -5,8 +5,10 @@ word is embedded as the sum of both, so that inflected forms share a part; filte
 over the whole text, each is max-pooled, and a logistic layer gives the
 probability.  Everything is trained in numpy from all labelled rows outside the
 held-out fold.  Their words are hashed once; the rows are dealt into groups by
-a hash, every group takes Adam's steps over its rows in a task of its own, and
-after each pass the states of all groups are averaged, weighted by rows.  Word
+a hash and stored by group, once, so that no pass moves them again.  Every group
+takes Adam's steps over its rows, and after each pass the states of all groups
+are averaged, weighted by rows: first those of a lane, whose groups one task
+takes in turn, then those of the lanes.  Word
 counts come from all rows, too, and so do the decision thresholds, which are
 calibrated per language on a fine grid of logits; the language is found from
 function words of the text itself, never from a column.
@@ -20,12 +22,13 @@ every score is 0.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import IS_ALNUM, U64, Words, byte_hashes, chunks
@@ -37,8 +40,10 @@ BUCKETS, PREFIX_BYTES, DIM, WIDTHS, FILTERS = 1 << 15, 5, 12, (1, 2, 3), 8
 SAMPLE_ROWS, SAMPLE_BYTES = (2500, 1500), 16 << 20
 #: Rows and words of a training group, about; passes over the rows; values of a state that are averaged together.
 GROUP_ROWS, GROUP_WORDS, EPOCHS, BLOCK = 4096, 1 << 22, 6, 1 << 14
-#: Most labels that are broadcast to the texts.
-BROADCAST_ROWS = 1 << 18
+#: Lanes that groups are dealt to, at least if there are so many groups, and groups of a lane if there are more lanes.
+LANES, LANE_GROUPS = 8, 4
+#: Most labels that are broadcast to the texts; of more, only this many bits are, in blocks of so many.
+BROADCAST_ROWS, BITS, BLOCK_BITS = 1 << 18, 1 << 27, 1 << 16
 #: Steps of a logit in which thresholds are sought.
 GRID = 1024
 #: Pull of an embedding towards where it started.
@@ -208,23 +213,30 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> list[dict[str, np
     return out
 
 
-def encoded(rows: DataFrame) -> DataFrame:
-    """(o, y, lang, n, ids) of rows (o, y, text): language, number of words, and the embedding rows of each word."""
+def encoded(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """The columns of rows beside `text` (and `at`), then lang, n, ids: language, number of words, and the embedding rows of each word. bits: only rows whose bit `at` is set."""
+    carried = [c for c in rows.columns if c not in ("text", "at")]
 
     def run(batches):
         languages = Languages()
         for b in batches:
+            if bits is not None:
+                at = b.column("at").to_numpy()
+                b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                if not b.num_rows:
+                    continue
             for at, end, words in chunks(b.column("text"), True, IS_ALNUM):
                 ids = bucketed(words).astype("<u2").tobytes()
                 lang = languages(words.hashes(), words.owner(), end - at)
                 cuts = (4 * words.first).tolist()
                 part = b.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("o"), part.column("y"), pa.array(lang.astype(np.int32)), pa.array(words.counts.astype(np.int64)), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
-                    names=["o", "y", "lang", "n", "ids"],
+                    [*map(part.column, carried), pa.array(lang.astype(np.int32)), pa.array(words.counts.astype(np.int64)), pa.array([ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                    names=[*carried, "lang", "n", "ids"],
                 )
 
-    return rows.select("o", "y", "text").mapInArrow(run, "o bigint, y double, lang int, n bigint, ids binary")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.select(*carried, *(["at"] if bits is not None else []), "text").mapInArrow(run, f"{schema}, lang int, n bigint, ids binary")
 
 
 def unpacked(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,8 +274,32 @@ def text_counts(rows: DataFrame) -> np.ndarray:
     return per
 
 
-def averaged_pass(rows: DataFrame, groups: int, state: tuple, start: np.ndarray, place: np.ndarray, epoch: int) -> tuple:
-    """The state (p, m, v, t) after every group has taken its steps from it: the mean over groups, weighted by rows."""
+def lane_keys(spark: SparkSession, lanes: int) -> list[int]:
+    """A number for each lane, which Spark's hash puts into a bucket of its own."""
+    found = spark.range(64 * lanes).groupBy(F.pmod(F.hash("id"), F.lit(lanes)).alias("bucket")).agg(F.min("id").alias("id")).collect()
+    return sorted(r.id for r in found)
+
+
+def stored_by_group(rows: DataFrame, groups: int) -> tuple[DataFrame, str, str]:
+    """rows with their group g and its lane, in a bucket for each lane; the table's name and its folder, for forget().
+
+    What reads it by lane and group needs no shuffle. Where buckets are not used, it takes one and gives the same, up to rounding.
+    """
+    spark, path, name = rows.sparkSession, new_path(rows.sparkSession, "groups"), f"groups_{uuid.uuid4().hex}"
+    keys = lane_keys(spark, min(groups, max(LANES, -(-groups // LANE_GROUPS))))
+    g = F.pmod("o", F.lit(groups))
+    lane = F.element_at(F.array(*map(F.lit, keys)), (g % len(keys)).cast("int") + 1).cast("bigint")
+    rows.withColumn("g", g).withColumn("lane", lane).repartition(len(keys), "lane").write.bucketBy(len(keys), "lane").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def forget(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+    release(spark, path)
+
+
+def averaged_pass(rows: DataFrame, state: tuple, start: np.ndarray, place: np.ndarray, epoch: int) -> tuple:
+    """The state (p, m, v, t) after every group of rows (lane, g, o, y, n, ids) has taken its steps from it: the mean over groups, weighted by rows."""
     p, values = state[0], flat(*state[:3])
     like, t0 = {a: np.empty(x.shape, np.bool_) for a, x in p.items()}, state[3]
     first_state, pulled = values, start.astype(np.float32)
@@ -271,21 +307,45 @@ def averaged_pass(rows: DataFrame, groups: int, state: tuple, start: np.ndarray,
     def steps(key, table):
         table = table.sort_by([("o", "ascending"), ("ids", "ascending"), ("y", "ascending")])
         ids, first, y = unpacked(table)
-        g = key[0].as_py()
+        lane, g = (k.as_py() for k in key)
         *after, t = one_pass(*unflat(first_state, like), t0, pulled.astype(float), place[ids].astype(np.int32), first, y, np.random.default_rng([7, epoch, g]))
         out = flat(*after)
         cuts = range(0, len(out), BLOCK)
         n = len(cuts)
-        return pa.table({"k": pa.array(np.arange(n, dtype=np.int32)), "g": pa.array(np.full(n, g, np.int64)), "rows": pa.array(np.full(n, len(y), np.int64)), "t": pa.array(np.full(n, t, np.int64)), "part": pa.array([out[i : i + BLOCK].tobytes() for i in cuts], pa.binary())})
+        whole = lambda x: pa.array(np.full(n, x, np.int64))
+        return pa.table({"k": pa.array(np.arange(n, dtype=np.int32)), "lane": whole(lane), "g": whole(g), "rows": whole(len(y)), "t": whole(t * len(y)), "part": pa.array([out[i : i + BLOCK].tobytes() for i in cuts], pa.binary())})
+
+    def by_lane(batches):
+        """Of the states, which come lane by lane: the mean of each lane, with its first g, its rows and the sum of their t."""
+        lane, head, sums = None, 0, {}
+
+        def means():
+            ks = sorted(sums)
+            whole = lambda i: pa.array([sums[k][i] for k in ks], pa.int64())
+            parts = pa.array([(sums[k][2] / sums[k][0]).astype(np.float32).tobytes() for k in ks], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([head] * len(ks), pa.int64()), whole(0), whole(1), parts], names=["k", "g", "rows", "t", "part"])
+
+        for b in batches:
+            for k, here, g, n, t, part in zip(*(b.column(c).to_pylist() for c in ("k", "lane", "g", "rows", "t")), b.column("part"), strict=True):
+                if here != lane:
+                    if sums:
+                        yield means()
+                    lane, head, sums = here, g, {}
+                x = n * np.frombuffer(part.as_buffer(), np.float32).astype(float)
+                had = sums.get(k, (0, 0, 0.0))
+                sums[k] = had[0] + n, had[1] + t, had[2] + x
+        if sums:
+            yield means()
 
     def mean(table):
         table = table.sort_by("g")
         w = table.column("rows").to_numpy()
         x = sum(n * np.frombuffer(b.as_buffer(), np.float32).astype(float) for n, b in zip(w.tolist(), table.column("part"), strict=True)) / w.sum()
-        return pa.table({"k": table.column("k").slice(0, 1), "t": pa.array([int(round((w * table.column("t").to_numpy()).sum() / w.sum()))], pa.int64()), "part": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"k": table.column("k").slice(0, 1), "t": pa.array([int(round(table.column("t").to_numpy().sum() / w.sum()))], pa.int64()), "part": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-    dealt = rows.select(F.pmod("o", F.lit(groups)).alias("g"), "o", "y", "n", "ids")
-    done = dealt.groupBy("g").applyInArrow(steps, "k int, g bigint, rows bigint, t bigint, part binary").groupBy("k").applyInArrow(mean, "k int, t bigint, part binary").toArrow().sort_by("k")
+    taken = rows.select("lane", "g", "o", "y", "n", "ids").groupBy("lane", "g").applyInArrow(steps, "k int, lane bigint, g bigint, rows bigint, t bigint, part binary")
+    lanes = taken.mapInArrow(by_lane, "k int, g bigint, rows bigint, t bigint, part binary")
+    done = lanes.groupBy("k").applyInArrow(mean, "k int, t bigint, part binary").toArrow().sort_by("k")
     out = np.frombuffer(b"".join(done.column("part").to_pylist()), np.float32)
     return (*unflat(out, p), int(done.column("t")[0].as_py()))
 
@@ -381,36 +441,64 @@ def in_one_task(rows: DataFrame, train) -> object | None:
     return pickle.loads(found[0]["model"]) if found else None
 
 
+def place_of_bit(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(BITS))
+
+
+def bitmap(marks: DataFrame) -> np.ndarray:
+    """BITS bits, in bytes; those of all ids in marks are set."""
+
+    def block(key, table):
+        bits = np.zeros(BLOCK_BITS, np.uint8)
+        bits[table.column("at").to_numpy() % BLOCK_BITS] = 1
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    got = marks.select(place_of_bit("doc_id").alias("at")).withColumn("b", F.floor(F.col("at") / BLOCK_BITS)).groupBy("b").applyInArrow(block, "b bigint, bits binary").toArrow()
+    out = np.zeros((BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for b, bits in zip(got.column("b").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[b] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """(o, y, text): every row with a text and a label, outside the held-out fold; o is a hash that deals them into groups.
+    """(o, y, lang, n, ids): every row with a text and a label, outside the held-out fold, encoded; o is a hash that deals them into groups.
 
-    An id that is labelled more than once takes its largest label.
+    An id that is labelled more than once takes its largest label. Where the labels are too many
+    to be broadcast, no text is shuffled: rows that a bitmap of the labelled ids excludes are
+    passed over, and the others meet their labels as embedding rows.
     """
     marks = labels.filter(F.col(label).isin(0, 1)).filter(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    return docs.filter("text is not null").select("doc_id", "text").join(side, "doc_id").select(F.xxhash64(F.lit(label), "doc_id", "text").alias("o"), "y", "text")
+    texts, o = docs.filter("text is not null").select("doc_id", "text"), F.xxhash64(F.lit(label), "doc_id", "text").alias("o")
+    if marks.count() <= BROADCAST_ROWS:
+        return encoded(texts.join(F.broadcast(marks), "doc_id").select(o, "y", "text"))
+    perhaps = texts.filter("doc_id is not null").select("doc_id", o, place_of_bit("doc_id").alias("at"), "text")
+    return encoded(perhaps, bitmap(marks)).join(marks, "doc_id").select("o", "y", "lang", "n", "ids")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0) -> Model | None:
     """The model that all labelled rows outside the held-out fold give; None without both classes."""
     spark = docs.sparkSession
     path = new_path(spark, "train")
-    kept = encoded(labelled(docs, labels, label, folds, held_out))
-    kept.write.parquet(path)
+    kept = labelled(docs, labels, label, folds, held_out)
+    kept.write.option("compression", "zstd").parquet(path)
+    release(spark)
     rows = spark.read.schema(kept.schema).parquet(path)
     sums = {int(r.y): r for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum("n").alias("words")).collect()}
-    model = None
-    if len(sums) == 2:
-        groups = max(1, -(-sum(r.n for r in sums.values()) // GROUP_ROWS), -(-sum(r.words for r in sums.values()) // GROUP_WORDS))
-        p, place = initial(text_counts(rows), np.array([sums[0].n, sums[1].n]))
-        state = (p, {a: np.zeros_like(x) for a, x in p.items()}, {a: np.zeros_like(x) for a, x in p.items()}, 0)
-        for epoch in range(EPOCHS):
-            state = averaged_pass(rows, groups, state, p["embed"], place, epoch)
-            release(spark)  # the pass's shuffles
-        model = as_model(state[0])
-        model.embed = model.embed.astype(np.float32)[place]
-        model.shift = thresholds(rows, model)
+    if len(sums) < 2:
+        release(spark, path)
+        return None
+    groups = max(1, -(-sum(r.n for r in sums.values()) // GROUP_ROWS), -(-sum(r.words for r in sums.values()) // GROUP_WORDS))
+    rows, *where = stored_by_group(rows, groups)
     release(spark, path)
+    p, place = initial(text_counts(rows), np.array([sums[0].n, sums[1].n]))
+    state = (p, {a: np.zeros_like(x) for a, x in p.items()}, {a: np.zeros_like(x) for a, x in p.items()}, 0)
+    for epoch in range(EPOCHS):
+        state = averaged_pass(rows, state, p["embed"], place, epoch)
+        release(spark)  # the pass's shuffle of states
+    model = as_model(state[0])
+    model.embed = model.embed.astype(np.float32)[place]
+    model.shift = thresholds(rows, model)
+    forget(spark, *where)
     return model
 
 
